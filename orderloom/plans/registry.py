@@ -6,5 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..sources.tables import Model
+from .reports import REPORTS, Report
+
+
+def _run(report: Report) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: report.plan(Model(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(r) for name, r in REPORTS.items()}
+ORACLES: dict[str, str] = {name: r.sql() for name, r in REPORTS.items()}
