@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Model
+from . import mining
 from .reports import REPORTS, Report
 
 
@@ -16,3 +17,5 @@ def _run(report: Report) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(r) for name, r in REPORTS.items()}
 ORACLES: dict[str, str] = {name: r.sql() for name, r in REPORTS.items()}
+QUERIES |= mining.QUERIES
+ORACLES |= mining.ORACLES
