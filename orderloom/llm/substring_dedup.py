@@ -26,7 +26,7 @@ from .packed import FLUSH, deal, flush_ids, pack, pack_sorted, unpack, unpack_so
 from .words import SPACED, U64, Tokens, mix, ranges, sequences, slices, tokenize, utf8
 
 PACKED = "bucket long, flush long, low binary, offsets binary, docs binary, starts binary"
-ANSWER = "flush long, offsets binary"
+ANSWER = "flush long, low binary, offsets binary, docs binary, starts binary"
 
 
 class _Flush:
@@ -55,7 +55,7 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
 
 
 def _emit(f: _Flush, flush: int, buckets: int, with_ids: bool) -> pa.RecordBatch | None:
-    """One row per bucket, and one of bucket -1 with the flush's documents."""
+    """One row per bucket, and one of a negative bucket with the flush's documents."""
     if not f.ids:
         return None
     starts = np.array(f.starts, U64)
@@ -68,7 +68,7 @@ def _emit(f: _Flush, flush: int, buckets: int, with_ids: bool) -> pa.RecordBatch
             which = np.unique(np.searchsorted(starts, off >> U64(1), "right") - 1)
             own = (pack(ids[which].view(U64)), pack_sorted(starts[which]))
         parts.append((bucket, flush, pack_sorted(low), pack(off), *own))
-    parts.append((-1, flush, pack(np.array(f.keys, np.int64).view(U64)), b"", pack(ids.view(U64)), pack_sorted(starts)))
+    parts.append((-1 - flush, flush, pack(np.array(f.keys, np.int64).view(U64)), b"", pack(ids.view(U64)), pack_sorted(starts)))
     return _rows(parts)
 
 
@@ -164,12 +164,19 @@ def _back(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _exchange(sent: DataFrame, answer) -> DataFrame:
-    """(doc_id, text_key, places) that ``answer`` finds in each bucket of a settled packed table."""
-    found = settle(sent.where("bucket >= 0").groupBy("bucket").applyInPandas(answer, ANSWER))
-    flushes = sent.where("bucket = -1").select("flush", "low", "offsets", "docs", "starts").join(found.select("flush").distinct(), "flush", "left_semi")
-    none = F.lit(None).cast("binary")
-    both = flushes.union(found.select("flush", none, "offsets", none, none))
-    return settle(both.groupBy("flush").applyInPandas(_back, "doc_id long, text_key long, places binary")).dropDuplicates(["doc_id", "text_key"])
+    """(doc_id, text_key, places) that ``answer`` finds in each bucket of a packed table.
+
+    Each flush's documents go through the same shuffle as its entries, so both
+    come from one run of the task that made them.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["bucket"].iloc[0] < 0:
+            return frame[["flush", "low", "offsets", "docs", "starts"]]
+        return answer(frame).assign(low=None, docs=None, starts=None)[["flush", "low", "offsets", "docs", "starts"]]
+
+    found = settle(sent.groupBy("bucket").applyInPandas(run, ANSWER))
+    return settle(found.groupBy("flush").applyInPandas(_back, "doc_id long, text_key long, places binary")).dropDuplicates(["doc_id", "text_key"])
 
 
 def _windows(window: int, block: int, buckets: int):
@@ -259,9 +266,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, int(size / 6 / words_per_bucket))
     lean = base.select("doc_id", "text_key", "text")
-    hits = _exchange(settle(lean.mapInArrow(_probe(block, buckets), PACKED)), _anchors)
-    around = settle(lean.join(settle(hits), ["doc_id", "text_key"]).mapInArrow(_windows(window, block, buckets), PACKED))
-    found = settle(_exchange(around, _repeats))
+    # The hits grow with the corpus, so they are joined by exchange at every size.
+    hits = settle(_exchange(lean.mapInArrow(_probe(block, buckets), PACKED), _anchors)).hint("merge")
+    around = lean.join(hits, ["doc_id", "text_key"]).mapInArrow(_windows(window, block, buckets), PACKED)
+    found = settle(_exchange(around, _repeats)).hint("merge")
     kind = base.schema["extra"].dataType.simpleString()
     joined = base.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "places", "extra")
     out = joined.mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, spans array<struct<first:long,after:long>>, kept_text string, extra {kind}")
