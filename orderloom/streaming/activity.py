@@ -115,7 +115,7 @@ class Dgim:
 
 
 def dgim_counts(df: DataFrame, window: int = 3600, bit: Column | None = None) -> DataFrame:
-    """(event_type, estimate) of a stream or table: DGIM state per kind of event; ``bit`` says which events count."""
+    """(event_type, estimate) of a stream, in update mode: DGIM state per kind of event; ``bit`` says which events count."""
     rows = df.select("event_type", "ts", "event_id", (bit if bit is not None else F.lit(True)).alias("bit"))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

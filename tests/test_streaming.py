@@ -46,8 +46,10 @@ def test_dgim_bound():
             assert abs(d.estimate() - true) <= max(1, true / 2)
 
 
-def test_dgim_on_a_table(spark):
-    got = dict(map(tuple, A.dgim_counts(spark.read.parquet(FILE), window=1000).collect()))
+def test_dgim_on_a_stream(spark, tmp_path):
+    got = {}
+    live = A.dgim_counts(A.stream(spark, _folder(spark, tmp_path)), window=1000)
+    A.run(live, "", str(tmp_path / "cp"), mode="update", each=lambda b, n: got.update(map(tuple, b.collect())))
     want = {r["event_type"]: r["count"] for r in spark.read.parquet(FILE).groupBy("event_type").count().collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - min(want[k], 1000)) <= want[k] / 2 for k in got)
 
