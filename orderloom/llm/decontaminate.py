@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is document-partitioned: a shard holds about a million consecutive
+The index is document-partitioned: a shard holds about a quarter million consecutive
 words of whole documents, and for each term the ascending positions of its
 postings, packed.  It is built once without a shuffle and stored.  A query's
 terms are intersected shard by shard from the rarest one (by postings over the
@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import settle
-from .packed import FLUSH, flush_ids, pack, pack_sorted, unpack, unpack_sorted
+from .packed import flush_ids, pack, pack_sorted, unpack, unpack_sorted
 from .words import ALNUM_FOLDED, U64, ranges, slices, tokenize, utf8
 
+#: Words of a shard, if no document has more; a task holds one shard at a time.
+SHARD_WORDS = 1 << 18
+#: Windows looked up at once.
+AT_ONCE = 1 << 15
 SHARD = "shard long, doc_ids binary, starts binary, n_words long, terms binary, counts binary, positions binary"
 
 
@@ -54,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 starts += (words.bounds[:-1] + n).tolist()
                 hashes.append(words.hash)
                 n += len(words.hash)
-                if n >= FLUSH:
+                if n >= SHARD_WORDS:
                     yield shard(next(numbers), ids, starts, hashes)
                     ids, starts, hashes, n = [], [], [], 0
         if ids:
@@ -89,6 +93,17 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int
         yield block
 
 
+def _by_width(block: list[tuple[int, np.ndarray]], terms: np.ndarray, rare: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, places of its words in ``terms``, those from the rarest on) of the windows of each width."""
+    out = []
+    for width in sorted({w.shape[1] for _, w in block}):
+        own = [(item, w) for item, w in block if w.shape[1] == width]
+        at = np.searchsorted(terms, np.concatenate([w for _, w in own])).astype(np.int32)
+        order = np.argsort(rare[at], axis=1, kind="stable").astype(np.int32)
+        out.append((np.repeat([item for item, _ in own], [len(w) for _, w in own]), at, order))
+    return out
+
+
 class _Shard:
     """A stored shard, with its lists and the words in their order."""
 
@@ -99,13 +114,11 @@ class _Shard:
         self.terms = unpack_sorted(row["terms"])
         self.counts = unpack(row["counts"]).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        steps = unpack(row["positions"]).astype(np.int64)
-        if len(steps):
-            total = np.cumsum(steps)
-            before = np.concatenate(([0], total[self.first[1:] - 1])) if len(self.first) else total[:0]
-            self.positions = total - np.repeat(before, self.counts)
-        else:
-            self.positions = steps
+        self.positions = unpack(row["positions"]).astype(np.int64)
+        if len(self.positions):
+            total = np.cumsum(self.positions, out=self.positions)
+            before = np.concatenate(([0], total[self.first[1:] - 1]))
+            total -= np.repeat(before, self.counts)
         self.term_at = np.empty(len(self.positions), np.int32)
         self.term_at[self.positions] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.counts)
 
@@ -159,8 +172,8 @@ def rarity(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(asked.value), np.int64)
         for batch in batches:
-            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = unpack_sorted(t)
+            for t, c in zip(batch.column(0), batch.column(1), strict=True):
+                own, c = unpack_sorted(t.as_py()), c.as_py()
                 if len(own) and len(total):
                     at = np.minimum(np.searchsorted(own, asked.value), len(own) - 1)
                     total += np.where(own[at] == asked.value, unpack(c).astype(np.int64)[at], 0)
@@ -185,20 +198,25 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
         terms = np.unique(np.concatenate([w.ravel() for _, w in block]))
         held = rarity(index, terms)
         rare = np.array([held.get(int(t), 0) for t in terms], np.int64)
-        shared = spark.sparkContext.broadcast([(item, w, np.argsort(rare[np.searchsorted(terms, w)], axis=1, kind="stable")) for item, w in block])
+        shared = spark.sparkContext.broadcast((terms, _by_width(block, terms, rare)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            terms, widths = shared.value
             for batch in batches:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):
+                    row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                     s, out = _Shard(row), []
-                    for item, w, order in shared.value:
-                        numbers = s.number(w)
-                        for k in np.flatnonzero((numbers >= 0).all(1)).tolist():
-                            if width is None:
-                                begin = s.phrase(numbers[k], order[k])
-                                out += [(item, b, b + w.shape[1]) for b in begin.tolist()]
-                            else:
-                                out += [(item, a, b) for a, b in s.near(numbers[k], order[k], width)]
+                    here = s.number(terms)
+                    for owner, at, order in widths:
+                        for lo in range(0, len(at), AT_ONCE):
+                            numbers = here[at[lo : lo + AT_ONCE]]
+                            for k in np.flatnonzero((numbers >= 0).all(1)).tolist():
+                                item = int(owner[lo + k])
+                                if width is None:
+                                    begin = s.phrase(numbers[k], order[lo + k])
+                                    out += [(item, b, b + at.shape[1]) for b in begin.tolist()]
+                                else:
+                                    out += [(item, a, b) for a, b in s.near(numbers[k], order[lo + k], width)]
                     if out:
                         yield _merged(row["shard"], s, np.array(out, np.int64))
 
@@ -248,7 +266,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 ids, starts = unpack(r["doc_ids"]).view(np.int64), unpack_sorted(r["starts"]).astype(np.int64)
                 yield pa.record_batch(
                     [pa.array(np.full(len(ids), r["shard"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(np.diff(np.append(starts, r["n_words"])))],

@@ -142,7 +142,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(at: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of whole rows of about ``most`` bytes; a longer row is alone."""
     lo, rows = 0, len(at) - 1
     while lo < rows:
