@@ -19,7 +19,7 @@ from pyspark import TaskContext
 
 from .words import U64
 
-FLUSH = 1_000_000  # words
+FLUSH = 500_000  # words
 
 
 @lru_cache(1)

@@ -246,7 +246,7 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, words_per_bucket: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, words_per_bucket: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text, extra) of every row.
 
     A word goes if a window of ``window`` (even) words that covers it also
