@@ -10,10 +10,13 @@ full sets, so nothing is linked that isn't similar.
 Prefix: a pair with T of k matches shares one of the first k - T + 1
 coordinates, so only those are posted.  Skip: a list of any length is first
 compared with its leader alone.  What that confirms is contracted, and only
-lists that still hold several components are merged further: short ones pair by
-pair across components, long ones after they were split by a second coordinate,
-which a pair with T >= 2 must share too.  So no list makes all its pairs, and no
-pair that could link two components is lost.
+lists that still hold several components are merged further.  There the classes
+meet under the rarest shingles of their sets: of two sets that are similar
+enough, either's prefix of n - ceil(threshold * n) + 1 rarest ones has one of the
+other's prefix.  Members of one component don't meet, nor do independent edits of
+one text, whose rarest shingles are their own; pairs that met need T matches as
+before.  So no list makes all its pairs, and no pair that could link two
+components is lost.
 
 With the defaults a pair at exactly the threshold is missed with a probability
 of 2e-7 (32 coordinates of 5, similarity 0.85).
@@ -149,7 +152,6 @@ def near_duplicates(
     coordinates: int = 32,
     matches: int = 2,
     rows: int | None = None,
-    short_list: int = 64,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -174,6 +176,7 @@ def near_duplicates(
         .groupBy("key")
         .agg(F.min("o").alias("o"), F.count("*").alias("size"))
         .where("size > 1")
+        .select("key", "o")
     )
     by_rep = classes.groupBy(order.alias("o")).agg(F.min("cls").alias("lead"))
     led = (
@@ -185,31 +188,45 @@ def near_duplicates(
         .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
         .distinct()
     )
-    links = _confirm(led, classes, docs, id_col, text_col, shingle_words, percent, matches)
+    near = _near(led, classes, percent, matches)
+    asked = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    links = _confirm(near, settle(_sets_of(asked, classes, docs, id_col, text_col, shingle_words)), percent)
     parts = settle(connected_components(links))
     # Lists that still hold several components.
     held = settle(
-        posts.join(lists.select("key", "size"), "key")
+        posts.join(lists.select("key"), "key")
         .join(parts.withColumnsRenamed({"node": "cls"}), "cls", "left")
-        .select("key", "size", "cls", "n", F.coalesce("component", "cls").alias("part"))
+        .select("key", "cls", "n", F.coalesce("component", "cls").alias("part"))
     )
     open_ = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    rest = settle(held.join(settle(open_), "key"))
-    long_ = rest.where(F.col("size") > short_list).join(classes.select("cls", "keys"), "cls")
-    again = long_.select(F.explode("keys").alias("other"), "key", "cls", "n", "part").where("other <> key").select(
-        F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cls", "n", "part"
+    rest = held.join(settle(open_), "key")
+    # Sets as similar as that share one of the n - least + 1 rarest shingles of either; those held by one class alone are counted, not posted.
+    asked = settle(rest.select("cls", "n", "part").distinct())
+    sets = settle(_sets_of(asked, classes, docs, id_col, text_col, shingle_words))
+    held_by = sets.select("cls", F.explode("members").alias("shingle"))
+    common = settle(held_by.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"))
+    rarest = held_by.join(common.hint("merge"), "shingle").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("common"))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    room = (F.size("common") - least + 1).cast("int")  # of the prefix, beyond what the class holds alone
+    dealt = settle(
+        asked.join(rarest, "cls").where(room > 0).select("cls", "n", "part", F.size("common").alias("left"), F.posexplode(F.slice("common", F.lit(1), room)["shingle"]).alias("at", "key"))
+        .select("key", "cls", "n", "part", (F.col("left") - F.col("at")).cast("long").alias("most"))
     )
-    dealt = settle(rest.where(F.col("size") <= short_list).select("key", "cls", "n", "part").union(again.distinct()))
-    mixed = settle(dealt.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"))
-    left = dealt.join(mixed, "key")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "part")))
+    # Components meet, not their members: the largest component under a shingle is never on the left.
+    sizes = dealt.groupBy("key", "part").count().groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part"))["part"].alias("big"))
+    every = dealt.join(settle(sizes.where("parts > 1").select("key", "big")), "key")
+    left = every.where("part <> big")
+    right = every.select("key", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "part", "most")))
+    # `most`: what a class can share with another whose first common shingle is this one.
+    shared = F.least("most", "most2")
+    once = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("big")) | (F.col("part") < F.col("part2")))
     across = (
         left.join(right, "key")
-        .where((F.col("part") < F.col("part2")) & _fits(F.col("n"), F.col("n2"), percent))
+        .where(once & (shared * 100 >= (F.col("n") + F.col("n2") - shared) * percent))
         .select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
         .distinct()
     )
-    more = _confirm(across, classes, docs, id_col, text_col, shingle_words, percent, matches)
+    more = _confirm(_near(across, classes, percent, matches), sets, percent)
     parts = settle(connected_components(links.union(more)))
     least = (
         parts.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
@@ -223,20 +240,27 @@ def near_duplicates(
     return full.union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, matches: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar enough; full sets are made only for classes in question."""
+def _sets_of(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(cls, members) of the classes asked for; one text is read of each."""
+    ids = settle(classes.join(asked, "cls", "left_semi").select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    return full_sets(texts, n).dropDuplicates(["cls"])
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Those of the pairs (a, b) that have enough matches, with their sizes."""
     side = classes.select("cls", "n", "keys")
-    near = settle(
+    return settle(
         pairs.join(side.toDF("a", "na", "ka"), "a")
         .join(side.toDF("b", "nb", "kb"), "b")
         .where(_fits(F.col("na"), F.col("nb"), percent))
         .where(F.size(F.array_intersect("ka", "kb")) >= matches)
         .select("a", "b", "na", "nb")
     )
-    asked = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-    ids = settle(classes.join(asked, "cls", "left_semi").select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    sets = settle(full_sets(texts, n).dropDuplicates(["cls"]))
+
+
+def _confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose full sets are similar enough."""
     shared = F.size(F.array_intersect("ma", "mb")).cast("long")
     return settle(
         near.join(sets.toDF("a", "ma"), "a")

@@ -51,12 +51,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("n, percent, short", [(3, 85, 64), (5, 80, 2)])
-def test_near_duplicates(docs, corpus, empty, n, percent, short):
+def _components(rows, n, percent):
+    """Each id's shingle set and a function to its component's smallest id, by comparing all pairs."""
     sets = {}
-    for i, t, *_ in corpus:
-        if i is None:
-            continue
+    for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", _fold(t))
         sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     part = {i: i for i in sets}
@@ -72,12 +70,35 @@ def test_near_duplicates(docs, corpus, empty, n, percent, short):
             if a < b and k and 100 * k >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 part[y] = x
-    got = [r for r in near_dedup.near_duplicates(docs, shingle_words=n, percent=percent, short_list=short).collect() if r["doc_id"] is not None]
+    return sets, root
+
+
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, corpus, empty, n, percent):
+    sets, root = _components([(i, t) for i, t, *_ in corpus if i is not None], n, percent)
+    got = [r for r in near_dedup.near_duplicates(docs, shingle_words=n, percent=percent).collect() if r["doc_id"] is not None]
     assert len(got) == len(corpus) - 1
     assert all((r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), root(r["doc_id"]), root(r["doc_id"]) == r["doc_id"]) for r in got)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("n, percent, vocabulary", [(3, 85, 3), (3, 85, 500), (5, 80, 20)])
+def test_near_duplicates_of_one_text(spark, n, percent, vocabulary):
+    """Edits of few texts on both sides of the threshold: lists that hold many components."""
+    rng = random.Random(vocabulary)
+    bases = [[f"b{k}w{j}" for j in range(length)] for k, length in enumerate((40, 90, 90))]
+    rows = []
+    for i in range(300):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(vocabulary)}"
+        rows.append((i, " ".join(words[rng.randrange(4) :])))
+    sets, root = _components(rows, n, percent)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=n, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root(i)) for i, _ in rows}
+    assert len({root(i) for i in sets}) > 20
+
+
 def test_sharding(docs, corpus, empty):
     got = sharding.assign_shards(docs).collect()
     text = {i: t or "" for i, t, *_ in corpus}
