@@ -100,8 +100,12 @@ def _probe(block: int, buckets: int):
 
 
 def _gather(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lows, offs = [unpack_sorted(b) for b in frame["low"]], [unpack(b) for b in frame["offsets"]]
-    return np.concatenate(lows), np.concatenate(offs), np.repeat(np.arange(len(lows)), [len(x) for x in lows])
+    """Low bits and offsets of a bucket's entries, and each row's place in them; no second copy is held."""
+    cuts = np.concatenate(([0], np.cumsum([int.from_bytes(b[:8], "little") for b in frame["low"]])))
+    low, off = np.empty(cuts[-1], U64), np.empty(cuts[-1], np.uint32)  # a document of 2**31 words exceeds what Arrow sends
+    for a, b, x, y in zip(cuts[:-1], cuts[1:], frame["low"], frame["offsets"], strict=True):
+        low[a:b], off[a:b] = unpack_sorted(x), unpack(y)
+    return low, off, cuts
 
 
 def _replies(frame: pd.DataFrame, off: np.ndarray, row: np.ndarray) -> pd.DataFrame:
@@ -116,33 +120,33 @@ def _replies(frame: pd.DataFrame, off: np.ndarray, row: np.ndarray) -> pd.DataFr
 
 def _groups(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the values, and where a new one begins in it."""
-    order = np.argsort(low, kind="stable")
+    order = np.argsort(low)
     s = low[order]
     return order, np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
 
 
 def _anchors(frame: pd.DataFrame) -> pd.DataFrame:
     """Offsets of the blocks that are indexed and occur twice at least."""
-    low, off, row = _gather(frame)
+    low, off, cuts = _gather(frame)
     order, first = _groups(low)
-    sizes = np.diff([*first, len(low)])
-    indexed = np.add.reduceat((off[order] & U64(1)).astype(np.int64), first)
-    hit = order[np.repeat((sizes > 1) & (indexed > 0), sizes)]
-    return _replies(frame, off[hit] >> U64(1), row[hit])
+    del low
+    sizes = np.diff(first, append=len(order))
+    indexed = np.logical_or.reduceat((off[order] & 1).astype(bool), first)
+    hit = order[np.repeat((sizes > 1) & indexed, sizes)]
+    return _replies(frame, off[hit] >> 1, np.searchsorted(cuts, hit, "right") - 1)
 
 
 def _repeats(frame: pd.DataFrame) -> pd.DataFrame:
     """Offsets of the windows that a smaller document has."""
-    low, off, row = _gather(frame)
-    owner = np.empty(len(low), np.int64)
-    cuts = np.searchsorted(row, np.arange(len(frame) + 1))
-    for i, (docs, starts) in enumerate(zip(frame["docs"], frame["starts"], strict=True)):
-        own = slice(cuts[i], cuts[i + 1])
-        owner[own] = unpack(docs).view(np.int64)[np.searchsorted(unpack_sorted(starts), off[own] >> U64(1), "right") - 1]
+    low, off, cuts = _gather(frame)
     order, first = _groups(low)
-    least = np.minimum.reduceat(owner[order], first)
-    hit = order[owner[order] > np.repeat(least, np.diff([*first, len(low)]))]
-    return _replies(frame, off[hit] >> U64(1), row[hit])
+    del low
+    owner = np.empty(len(off), np.int64)
+    for a, b, docs, starts in zip(cuts[:-1], cuts[1:], frame["docs"], frame["starts"], strict=True):
+        owner[a:b] = unpack(docs).view(np.int64)[np.searchsorted(unpack_sorted(starts), (off[a:b] >> 1).astype(U64), "right") - 1]
+    owner = owner[order]
+    hit = order[owner > np.repeat(np.minimum.reduceat(owner, first), np.diff(first, append=len(order)))]
+    return _replies(frame, off[hit] >> 1, np.searchsorted(cuts, hit, "right") - 1)
 
 
 def _back(frame: pd.DataFrame) -> pd.DataFrame:

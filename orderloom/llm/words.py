@@ -8,6 +8,8 @@ hashed with prefix sums modulo 2**64 (the base is odd and so invertible).
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,6 +17,18 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def _give_back() -> None:
+    """Workers are kept between tasks: blocks of 256 KB and more go back to the system as soon as they are freed."""
+    if sys.platform == "linux":
+        mmap_threshold = -3  # of mallopt in glibc; setting it ends its growth with the largest block freed
+        getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)(mmap_threshold, 1 << 18)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
+
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=U64)
 _BASE, _WORD_BASE = int(_rng.integers(2**62, 2**63)) * 2 + 1, int(_rng.integers(2**62, 2**63)) * 2 + 1
