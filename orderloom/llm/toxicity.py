@@ -1,10 +1,13 @@
 """Toxicity by a gap-weighted subsequence string kernel, Nyström landmarks and a linear SVM.
 
 Strings are the words of a text, and runs of very short words (spelled-out
-insults).  The kernel counts common subsequences of three letters; each skipped
-character of a gap of up to two costs a factor, so inserted characters and
+insults).  They are read as code points: every letter of any script (Unicode L,
+and the marks M that many scripts write vowels with) is its own symbol, upper and
+lower case alike.  The kernel counts common subsequences of three letters; each
+skipped character of a gap of up to two costs a factor, so inserted characters and
 separators lower a similarity only a little.  It is normalised, so 1 is the same
-word.  Landmarks are words that mark label 1 in the fitted sample.  A text's
+word.  Composed and decomposed accents are different letters, and where words are
+not spaced, a landmark can only be a whole run of letters.  Landmarks are words that mark label 1 in the fitted sample.  A text's
 feature for a landmark is its best string's similarity (0 below ``FLOOR``); the
 Nyström map of those features goes into a linear SVM, whose margin is calibrated
 to a probability.
@@ -12,7 +15,9 @@ to a probability.
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,15 +26,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import settle
-from .words import SPACED, U64, ranges, slices, span_hashes, tokenize, utf8
+from .words import SPACED, U64, mix, ranges, slices, span_hashes, tokenize, utf8
 
-LETTERS, GAP, DECAY, FLOOR = 27, 27, 0.5, 0.45
+GAP, DECAY, FLOOR = 1, 0.5, 0.45  # GAP: the symbol of what is no letter
 WIDE, STEP, SHORT = 24, 12, 2  # of a string's window, between windows, of a short word
 STEPS = [(a, b, DECAY ** (a + b - 2)) for a in (1, 2, 3) for b in (1, 2, 3)]
-_CODE = np.full(256, GAP, np.uint8)
-for _i in range(26):
-    _CODE[0x41 + _i] = _CODE[0x61 + _i] = _i + 1
-_VALUE = np.random.default_rng(99).integers(0, 2**64, 28, dtype=U64)
+BITS, SEEN = 21, 18  # of a code point, of a hashed subsequence
+
+
+@functools.cache
+def symbols() -> np.ndarray:
+    """The symbol of each code point: a letter's own code point, folded, and GAP for others; none is 0."""
+    out = np.full(0x110000, GAP, np.int32)
+    for c in range(0x41, 0x40000):
+        if unicodedata.category(chr(c))[0] in "LM":
+            fold = chr(c).casefold()
+            out[c] = ord(fold) if len(fold) == 1 else c
+    out[0xE0100:0xE01F0] = np.arange(0xE0100, 0xE01F0)  # the marks beyond
+    return out
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the number of them before each byte (and in all)."""
+    lead = (data & 0xC0) != 0x80
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(lead, out=before[1:])
+    at = np.flatnonzero(lead)
+    out = data[at].astype(np.int32)
+    for least, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        those = np.flatnonzero(data[at] >= least)
+        value = data[at[those]].astype(np.int32) & mask
+        for k in range(1, more + 1):
+            value = value << 6 | (data[np.minimum(at[those] + k, len(data) - 1)] & 0x3F)
+        out[those] = np.minimum(value, 0x10FFFF)
+    return out, before
 
 
 class Strings(NamedTuple):
@@ -40,7 +70,8 @@ class Strings(NamedTuple):
 
 def strings_of(data: np.ndarray, at: np.ndarray) -> Strings:
     words = tokenize(data, at, SPACED)
-    start, end = words.start, words.end
+    points, before = code_points(data)
+    start, end = before[words.start], before[words.end]
     n = len(start)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(words.bounds))
     if n:
@@ -55,22 +86,22 @@ def strings_of(data: np.ndarray, at: np.ndarray) -> Strings:
     begin = np.repeat(start, pieces) + STEP * ranges(np.zeros(len(start), np.int64), pieces)
     stop = np.minimum(begin + WIDE, np.repeat(end, pieces))
     doc = np.repeat(doc, pieces)
-    code = _CODE[data]
-    _, first, which = np.unique(span_hashes(_VALUE[code], begin, stop), return_index=True, return_inverse=True)
+    code = symbols()[points]
+    _, first, which = np.unique(span_hashes(mix(code.astype(U64)), begin, stop), return_index=True, return_inverse=True)
     cells = begin[first][:, None] + np.arange(WIDE)
-    matrix = np.where(cells < stop[first][:, None], np.concatenate([code, np.zeros(1, np.uint8)])[np.minimum(cells, len(code))], 0) if len(first) else np.zeros((0, WIDE), np.uint8)
+    matrix = np.where(cells < stop[first][:, None], np.concatenate([code, np.zeros(1, np.int32)])[np.minimum(cells, len(code))], 0) if len(first) else np.zeros((0, WIDE), np.int32)
     return Strings(matrix, doc, which)
 
 
 def subsequences(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature, weight), each (strings, positions * gaps); weight 0 where there is none."""
     features, weights = [], []
-    c = code.astype(np.int32)
-    letter = (c > 0) & (c < GAP)
+    c = code.astype(np.int64)
+    letter = c > GAP
     for a, b, w in STEPS:
         m = max(0, c.shape[1] - a - b)
         ok = letter[:, :m] & letter[:, a : a + m] & letter[:, a + b : a + b + m]
-        features.append(((c[:, :m] * LETTERS + c[:, a : a + m]) * LETTERS + c[:, a + b : a + b + m]) * ok)
+        features.append((c[:, :m] << 2 * BITS | c[:, a : a + m] << BITS | c[:, a + b : a + b + m]) * ok)
         weights.append(ok * np.float32(w))
     return np.concatenate(features, 1), np.concatenate(weights, 1)
 
@@ -88,36 +119,50 @@ def norms(f: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def encode_words(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), WIDE), np.uint8)
+    out = np.zeros((len(words), WIDE), np.int32)
     for i, w in enumerate(words):
-        raw = np.frombuffer(w.encode()[:WIDE], np.uint8)
-        out[i, : len(raw)] = _CODE[raw]
+        out[i, : len(w)] = symbols()[[ord(c) for c in w[:WIDE]]]
     return out
 
 
+def _hashed(f: np.ndarray) -> np.ndarray:
+    return ((f.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - SEEN)).astype(np.int32)
+
+
 class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
         f, w = subsequences(encode_words(words))
-        dense = np.bincount((np.arange(len(words))[:, None] * LETTERS**3 + f).ravel(), w.ravel(), len(words) * LETTERS**3).reshape(len(words), LETTERS**3).astype(float)
-        dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
-        self.used = np.flatnonzero(dense.any(0))
-        self.place = np.zeros(LETTERS**3, np.int32)  # 0: in no landmark
-        self.place[self.used] = np.arange(1, len(self.used) + 1)
-        self.phi = dense[:, self.used]
-        self.most = np.zeros(LETTERS**3, np.float32)
-        self.most[self.used] = self.phi.max(0) if len(words) else 0
+        row, cell = np.nonzero(w)
+        self.used, where = np.unique(f[row, cell], return_inverse=True)
+        self.phi = np.zeros((len(words), len(self.used)))
+        np.add.at(self.phi, (row, where), w[row, cell])
+        self.phi /= np.maximum(np.linalg.norm(self.phi, axis=1), 1e-12)[:, None]
+        self.seen = np.zeros(1 << SEEN, bool)
+        self.seen[_hashed(self.used)] = True
+        self.most = np.zeros(len(self.used) + 1, np.float32)
+        self.most[1:] = self.phi.max(0) if len(words) else 0
         values, basis = np.linalg.eigh(self.phi @ self.phi.T) if len(words) else (np.zeros(0), np.zeros((0, 0)))
         good = values > 1e-8
         self.whiten = basis[:, good] / np.sqrt(values[good])
 
-    def _similar(self, f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def places(self, f: np.ndarray) -> np.ndarray:
+        """1 and more: the subsequence's place in ``used``; 0: in no landmark."""
+        out = np.zeros(f.size, np.int32)
+        if len(self.used):
+            maybe = np.flatnonzero(self.seen[_hashed(f.ravel())])
+            own = f.ravel()[maybe]
+            at = np.minimum(np.searchsorted(self.used, own), len(self.used) - 1)
+            out[maybe] = np.where(self.used[at] == own, at + 1, 0)
+        return out.reshape(f.shape)
+
+    def _similar(self, f: np.ndarray, w: np.ndarray, places: np.ndarray) -> np.ndarray:
         n, wide = len(f), len(self.used) + 1
-        dense = np.empty((n, len(self.used)))
-        for lo in range(0, n, 512):
-            own = self.place[f[lo : lo + 512]]
-            dense[lo : lo + 512] = np.bincount((np.arange(len(own))[:, None] * wide + own).ravel(), w[lo : lo + 512].ravel(), len(own) * wide).reshape(-1, wide)[:, 1:]
-        return dense @ self.phi.T / np.maximum(norms(f, w), 1e-12)[:, None]
+        out, step = np.empty((n, len(self.words))), max(16, (1 << 21) // wide)
+        for lo in range(0, n, step):
+            own = places[lo : lo + step]
+            out[lo : lo + step] = np.bincount((np.arange(len(own))[:, None] * wide + own).ravel(), w[lo : lo + step].ravel(), len(own) * wide).reshape(-1, wide)[:, 1:] @ self.phi.T
+        return out / np.maximum(norms(f, w), 1e-12)[:, None]
 
     def features(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Best similarity of each text's strings to each landmark."""
@@ -125,19 +170,24 @@ class Landmarks:
         s = strings_of(data, at)
         if not len(s.code) or not self.words:
             return out
-        sim = np.zeros((len(s.code), len(self.words)))
-        length = (s.code > 0).sum(1)
+        sim, rows = [], np.full(len(s.code), -1)  # of the strings that may be similar to a landmark
+        length, found = (s.code > 0).sum(1), 0
         for wide, those in ((10, np.flatnonzero(length <= 10)), (WIDE, np.flatnonzero(length > 10))):
-            for lo in range(0, len(those), 8192):
-                some = those[lo : lo + 8192]
+            for lo in range(0, len(those), 4096):
+                some = those[lo : lo + 4096]
                 f, w = subsequences(s.code[some, :wide])
+                places = self.places(f)
                 # No similarity is larger than this bound; most strings stay below the floor.
-                maybe = np.flatnonzero((self.most[f] * w).sum(1) >= FLOOR * np.sqrt(np.maximum((w * w).sum(1), 1e-12)))
+                maybe = np.flatnonzero((self.most[places] * w).sum(1) >= FLOOR * np.sqrt(np.maximum((w * w).sum(1), 1e-12)))
                 if len(maybe):
-                    sim[some[maybe]] = self._similar(f[maybe], w[maybe])
-        sim[sim < FLOOR] = 0
-        hit = np.flatnonzero(sim.any(1)[s.which])
-        np.maximum.at(out, s.doc[hit], sim[s.which[hit]])
+                    got = self._similar(f[maybe], w[maybe], places[maybe])
+                    near = np.flatnonzero((got >= FLOOR).any(1))
+                    rows[some[maybe[near]]] = found + np.arange(len(near))
+                    sim.append(np.where(got[near] >= FLOOR, got[near], 0))
+                    found += len(near)
+        hit = np.flatnonzero(rows[s.which] >= 0)
+        if len(hit):
+            np.maximum.at(out, s.doc[hit], np.concatenate(sim)[rows[s.which[hit]]])
         return out
 
 
@@ -206,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picks = [told.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(docs_per_label) for y in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     chosen = texts.join(F.broadcast(picks[0].union(picks[1])), "id")  # 2 * docs_per_label rows at most
-    tokens = F.array_distinct(F.split(F.lower("text"), r"[^a-z\x{80}-\x{10FFFF}]+"))
+    tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
     rows = settle(chosen.select(F.xxhash64("text").alias("h"), "y", "text", tokens.alias("words"), F.array_min(F.transform(tokens, lambda w: F.xxhash64(w))).alias("least")))
     # Near copies share their least word hash; one of them is left for either label.
     once = rows.groupBy("y", "least").agg(F.min("h").alias("h")).select("y", "h")
@@ -214,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     words = (
-        sample.select("h", "y", F.explode("words").alias("w")).where(F.col("w").rlike("^[a-z]{3,24}$"))
+        sample.select("h", "y", F.explode("words").alias("w")).where(F.col("w").rlike(r"^[\p{L}\p{M}]{3,24}$"))
         .groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"), F.min(F.when(F.col("y") > 0, F.col("h"))).alias("first"), F.max(F.when(F.col("y") > 0, F.col("h"))).alias("last"))
     )
     mean = (F.col("a") + F.col("b")) / (pos + neg or 1)

@@ -160,6 +160,31 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score between 0 and 1").count() == 300
 
 
+def _judge(spark, rows, asked):
+    """Scores of texts by a model fitted on (id, text, toxic) rows."""
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = toxicity.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    return model, [r["score"] for r in sorted(got)]
+
+
+def test_toxicity_of_any_letters(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(240):
+        words = ["".join(rng.choice("abcdefghéèжщя") for _ in range(rng.randint(2, 7))) for _ in range(30)]
+        if i % 3 == 0:
+            words[rng.randrange(30)] = ["crétîné", "ДУРАЧИНА", "ηλίθιος"][i // 3 % 3]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    bad = ["un crétîné là", "CRÉTÎNÉ", "эй дурачина", "д у р а ч и н а", "дура.чина", "ω ηλίθιος"]
+    clean = ["é î é â ô ê è", "щщщ жяжя", "ααα ββββ", ""]
+    _, got = _judge(spark, rows, bad + clean)
+    assert min(got[: len(bad)]) > 0.5 > max(got[len(bad) :])
+    data = "aé日🙂\0ß".encode()
+    points, before = toxicity.code_points(__import__("numpy").frombuffer(data, "uint8"))
+    assert points.tolist() == [ord(c) for c in data.decode()] and before[-1] == 6
+
+
 def test_topk(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.25, 0.75]) for _ in range(4)]) for i in range(700)] + [(900, None), (950, [1.0, None, 0.0, 0.0]), (1000, [float("nan")] * 4), (None, [1.0] * 4), (50, rows_0 := [1.0] * 4)]
