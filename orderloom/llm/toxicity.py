@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Landmarks are words held by ``least_docs`` texts, and by ``least_share`` of
     those, with label 1, whose texts have label 1 at a rate of ``least_rate`` at
     least (lower end of Wilson's interval); the largest z-scores come first.  Of words whose first and last text
-    are the same only three.  Of near copies one is taken.
+    are the same only three.  Of equal texts with one label one is taken; near copies all are.
     """
     spark = docs.sparkSession
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -257,10 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     chosen = texts.join(F.broadcast(picks[0].union(picks[1])), "id")  # 2 * docs_per_label rows at most
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
-    rows = settle(chosen.select(F.xxhash64("text").alias("h"), "y", "text", tokens.alias("words"), F.array_min(F.transform(tokens, lambda w: F.xxhash64(w))).alias("least")))
-    # Near copies share their least word hash; one of them is left for either label.
-    once = rows.groupBy("y", "least").agg(F.min("h").alias("h")).select("y", "h")
-    sample = settle(rows.join(once, ["y", "h"], "left_semi").dropDuplicates(["y", "h"]))
+    rows = settle(chosen.select(F.xxhash64("text").alias("h"), "y", "text", tokens.alias("words")))
+    sample = settle(rows.dropDuplicates(["y", "h"]))
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     words = (

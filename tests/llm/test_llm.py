@@ -185,6 +185,17 @@ def test_toxicity_of_any_letters(spark):
     assert points.tolist() == [ord(c) for c in data.decode()] and before[-1] == 6
 
 
+def test_toxicity_keeps_texts_of_common_words(spark):
+    """Different texts that share all their common words are all learnt from."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(40)]
+    text = lambda *more: " ".join(rng.sample([*vocab, *more], len(vocab) + len(more)))
+    insults = ["zwurfel", "quonkins", "plojimur", "vyxostit"]
+    rows = [(i, text(insults[i // 3 % 4]) if i % 3 == 0 else text(), int(i % 3 == 0)) for i in range(120)]
+    _, got = _judge(spark, [*rows, *((1000 + i, t, y) for i, t, y in rows[:30])], [*(text(w) for w in insults), text(), text()])
+    assert min(got[:4]) > 0.5 > max(got[4:])
+
+
 def test_topk(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.25, 0.75]) for _ in range(4)]) for i in range(700)] + [(900, None), (950, [1.0, None, 0.0, 0.0]), (1000, [float("nan")] * 4), (None, [1.0] * 4), (50, rows_0 := [1.0] * 4)]
