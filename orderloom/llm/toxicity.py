@@ -8,8 +8,9 @@ skipped character of a gap of up to two costs a factor, so inserted characters a
 separators lower a similarity only a little.  It is normalised, so 1 is the same
 word.  Composed and decomposed accents are different letters, and where words are
 not spaced, a landmark can only be a whole run of letters.  Landmarks are words that mark label 1 in the fitted sample.  A text's
-feature for a landmark is its best string's similarity (0 below ``FLOOR``); the
-Nyström map of those features goes into a linear SVM, whose margin is calibrated
+feature for a landmark is its best string's similarity (0 below ``FLOOR``), to the
+power ``SHARP`` (a kernel too), which sets a landmark's own forms apart from words
+that merely share syllables; the Nyström map of those features goes into a linear SVM, whose margin is calibrated
 to a probability.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..scratch import settle
 from .words import SPACED, U64, mix, ranges, slices, span_hashes, tokenize, utf8
 
-GAP, DECAY, FLOOR = 1, 0.5, 0.45  # GAP: the symbol of what is no letter
+GAP, DECAY, FLOOR, SHARP = 1, 0.5, 0.45, 2  # GAP: the symbol of what is no letter
 WIDE, STEP, SHORT = 24, 12, 2  # of a string's window, between windows, of a short word
 STEPS = [(a, b, DECAY ** (a + b - 2)) for a in (1, 2, 3) for b in (1, 2, 3)]
 BITS, SEEN = 21, 18  # of a code point, of a hashed subsequence
@@ -142,7 +143,7 @@ class Landmarks:
         self.seen[_hashed(self.used)] = True
         self.most = np.zeros(len(self.used) + 1, np.float32)
         self.most[1:] = self.phi.max(0) if len(words) else 0
-        values, basis = np.linalg.eigh(self.phi @ self.phi.T) if len(words) else (np.zeros(0), np.zeros((0, 0)))
+        values, basis = np.linalg.eigh((self.phi @ self.phi.T) ** SHARP) if len(words) else (np.zeros(0), np.zeros((0, 0)))
         good = values > 1e-8
         self.whiten = basis[:, good] / np.sqrt(values[good])
 
@@ -165,7 +166,7 @@ class Landmarks:
         return out / np.maximum(norms(f, w), 1e-12)[:, None]
 
     def features(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Best similarity of each text's strings to each landmark."""
+        """Best similarity of each text's strings to each landmark, sharpened."""
         out = np.zeros((len(at) - 1, len(self.words)))
         s = strings_of(data, at)
         if not len(s.code) or not self.words:
@@ -183,7 +184,7 @@ class Landmarks:
                     got = self._similar(f[maybe], w[maybe], places[maybe])
                     near = np.flatnonzero((got >= FLOOR).any(1))
                     rows[some[maybe[near]]] = found + np.arange(len(near))
-                    sim.append(np.where(got[near] >= FLOOR, got[near], 0))
+                    sim.append(np.where(got[near] >= FLOOR, got[near], 0) ** SHARP)
                     found += len(near)
         hit = np.flatnonzero(rows[s.which] >= 0)
         if len(hit):
@@ -191,6 +192,30 @@ class Landmarks:
         return out
 
 
+def spread(words: Iterator[str], most: int, near: float = 0.6) -> list[str]:
+    """The first ``most`` words that are less similar than ``near`` to each word taken before; places left go to the first of the others."""
+    taken, others, held = [], [], {}  # held: subsequence -> (place in taken, weight)
+    for word in words:
+        f, w = subsequences(encode_words([word]))
+        own = {}
+        for key, weight in zip(f[w > 0].tolist(), w[w > 0].tolist(), strict=True):
+            own[key] = own.get(key, 0.0) + weight
+        length = math.sqrt(sum(x * x for x in own.values())) or 1.0
+        sims = {}
+        for key, weight in own.items():
+            for place, other in held.get(key, ()):
+                sims[place] = sims.get(place, 0.0) + weight / length * other
+        if own and max(sims.values(), default=0.0) < near:
+            for key, weight in own.items():
+                held.setdefault(key, []).append((len(taken), weight / length))
+            taken.append(word)
+            if len(taken) == most:
+                break
+        elif own and len(others) < most:
+            others.append(word)
+    return taken + others[: most - len(taken)]
+
+
 class Model(NamedTuple):
     landmarks: Landmarks
     weight: np.ndarray
@@ -241,14 +266,16 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 8_000, landmarks: int = 64, least_rate: float = 0.4, least_docs: int = 3, least_share: float = 0.01) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 8_000, landmarks: int = 256, least_rate: float = 0.4, least_docs: int = 3) -> Model:
     """A model from at most ``docs_per_label`` labelled ids of either label (the smallest by a hash of the id) and their texts.
 
     An id with several labels counts as 1 if any is.
-    Landmarks are words held by ``least_docs`` texts, and by ``least_share`` of
-    those, with label 1, whose texts have label 1 at a rate of ``least_rate`` at
-    least (lower end of Wilson's interval); the largest z-scores come first.  Of words whose first and last text
-    are the same only three.  Of equal texts with one label one is taken; near copies all are.
+    Landmarks are words held by ``least_docs`` texts with label 1, whose texts have
+    label 1 at a rate of ``least_rate`` at least (lower end of Wilson's interval).  The
+    largest z-scores come first; words beyond the third whose first and last text are
+    the same come after all others.  Words similar to one taken before (0.6), such as
+    forms of its stem, get only the places that the rest leave.  Of equal texts with one label one is taken; near
+    copies all are.
     """
     spark = docs.sparkSession
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -271,10 +298,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     p = F.col("a") / n
     low = (p + c * c / (2 * n) - c * F.sqrt(p * (1 - p) / n + c * c / (4 * n * n))) / (1 + c * c / n)
     top = (
-        words.withColumn("z", z).where((F.col("a") >= max(least_docs, math.ceil(least_share * pos))) & (low >= least_rate)).withColumn("k", F.row_number().over(Window.partitionBy("first", "last").orderBy(F.desc("z"), "w")))
-        .where("k <= 3").orderBy(F.desc("z"), "w").limit(landmarks).collect()
+        words.withColumn("z", z).where((F.col("a") >= least_docs) & (low >= least_rate)).withColumn("k", F.row_number().over(Window.partitionBy("first", "last").orderBy(F.desc("z"), "w")))
+        .orderBy(F.col("k") > 3, F.desc("z"), "w").select("w")
     )
-    marks = Landmarks([r["w"] for r in top])
+    marks = Landmarks(spread((r["w"] for r in top.toLocalIterator()), landmarks))
     base = (pos + 0.5) / (pos + neg + 1)
     constant = Model(Landmarks([]), np.zeros(1), 1.0, float(np.log(base / (1 - base))))
     if not marks.words or not pos or not neg:

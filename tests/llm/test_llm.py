@@ -196,6 +196,19 @@ def test_toxicity_keeps_texts_of_common_words(spark):
     assert min(got[:4]) > 0.5 > max(got[4:])
 
 
+def test_toxicity_spreads_landmarks(spark):
+    """Forms of one stem in many texts leave a place to an insult in few."""
+    rng = random.Random(9)
+    word = lambda letters="abcdefgh": "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    forms = sorted({"zwurfel" + word() for _ in range(80)})
+    bad = [forms[i % len(forms)] for i in range(6 * len(forms))] + ["quonkins"] * 4
+    rows = [(i, " ".join(word() for _ in range(20)) + (f" {bad[i]}" if i < len(bad) else ""), int(i < len(bad))) for i in range(2 * len(bad))]
+    model, got = _judge(spark, rows, ["so quonkins", "zwurfelab", "abc defg"])
+    assert "quonkins" in model.landmarks.words and min(got[:2]) > 0.5 > got[2]
+    taken = toxicity.spread(iter([*forms, "quonkins", "vyxostit"]), 32)
+    assert len(taken) == 32 and {"quonkins", "vyxostit"} <= set(taken)
+
+
 def test_topk(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.25, 0.75]) for _ in range(4)]) for i in range(700)] + [(900, None), (950, [1.0, None, 0.0, 0.0]), (1000, [float("nan")] * 4), (None, [1.0] * 4), (50, rows_0 := [1.0] * 4)]
