@@ -1,25 +1,39 @@
-"""An exchange of word positions by hash, packed into few compressed rows.
+"""A radix exchange of hashes in packed rows: what do all entries of one hash say together?
 
 A flush is a run of whole documents of about ``FLUSH`` words that one task holds
-at a time.  Its entries (hash, word offset in the flush) are dealt to buckets by
-the hash's high bits, sorted by hash and written as one row per bucket: sorted
-differences and offsets as byte planes, about 5 bytes an entry.  Answers go back
-to the flush by its id.  Buckets are as many as the input needs for a bounded
-number of entries each.
+at a time.  It combines its own entries first, so it sends one entry a hash,
+with a value; entries are dealt to ``COARSE`` buckets by the hash, sorted and
+written as one row per bucket (sorted differences as compressed byte planes).
+
+Flushes are grouped into parts of ``flushes_per_part``.  A bucket of one part
+fits a task at any input size: it holds at most one entry of a hash for each of
+the part's flushes.  With several parts, each (bucket, part) first combines its
+entries and deals them on to as many fine buckets as there are parts; there a
+hash has one entry for each part.  What changed by that goes back to the parts,
+and every flush is told from its own (bucket, part).  So neither a frequent hash
+nor a large input makes a large group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import free, settle
 from .words import U64
 
 FLUSH = 500_000  # words
+COARSE = 512  # buckets; a flush's row has about FLUSH / COARSE entries
+#: own: what the flush keeps for its return, in the row of bucket -1 - flush.
+PACKED = "bucket long, flush long, low binary, check binary, offsets binary, value binary, own binary"
+_COLUMNS = ("bucket", "flush", "low", "check", "offsets", "value", "own")
 
 
 @lru_cache(1)
@@ -46,6 +60,20 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=U64)
 
 
+def pack_many(*arrays: np.ndarray) -> bytes:
+    blobs = [pack(a) for a in arrays]
+    return b"".join([len(b).to_bytes(8, "little") + b for b in blobs])
+
+
+def unpack_many(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(unpack(blob[at + 8 : at + 8 + n]))
+        at += 8 + n
+    return out
+
+
 def flush_ids() -> Iterator[int]:
     """Ids that no other task has."""
     first = TaskContext.get().partitionId() << 32
@@ -54,13 +82,117 @@ def flush_ids() -> Iterator[int]:
         first += 1
 
 
-def deal(hashes: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, low 40 bits of the hashes ascending, their offsets); the bucket comes from other bits than those."""
-    bucket = ((hashes >> U64(40)) * U64(buckets)) >> U64(24)
-    low = hashes & U64((1 << 40) - 1)
-    order = np.argsort(bucket << U64(40) | low)
-    bucket, low, offsets = bucket[order], low[order], offsets[order]
+def grouped(low: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the entries by hash and check value, and where a new one begins in it."""
+    order = np.argsort(low, kind="stable")
+    s = low[order]
+    new = s[1:] != s[:-1]
+    if check is not None:
+        c = check[order]
+        if (~new & (c[1:] != c[:-1])).any():  # equal hashes of different words
+            order = np.lexsort((check, low))
+            s, c = low[order], check[order]
+            new = s[1:] != s[:-1]
+        new |= c[1:] != c[:-1]
+    return order, np.flatnonzero(np.concatenate(([True], new))) if len(s) else np.zeros(0, np.int64)
+
+
+class Kind(NamedTuple):
+    """How values of equal hashes combine (of sorted values, where groups begin, their sizes), and which entries are told."""
+
+    merge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    told: Callable[[np.ndarray, np.ndarray], np.ndarray]  # own value, merged value
+
+
+def coarse_of(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> U64(40)) * U64(COARSE)) >> U64(24)
+
+
+def deal(bucket: np.ndarray, flush: int, low: np.ndarray, check: np.ndarray | None, offsets: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """A packed row per bucket, of entries sorted by bucket and hash."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-        if b > a:
-            yield int(bucket[a]), low[a:b], offsets[a:b]
+    return [
+        (int(bucket[a]), flush, pack_sorted(low[a:b]), pack(check[a:b]) if check is not None else b"", pack(offsets[a:b]), pack(value[a:b]), None)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True)
+        if b > a
+    ]
+
+
+class _Entries:
+    """All entries of a group's rows, combined by hash."""
+
+    def __init__(self, frame: pd.DataFrame, kind: Kind):
+        self.frame = frame
+        self.cuts = np.concatenate(([0], np.cumsum([int.from_bytes(b[:8], "little") for b in frame["low"]])))
+        self.low, self.value = np.empty(self.cuts[-1], U64), np.empty(self.cuts[-1], U64)
+        self.check = np.empty(self.cuts[-1], U64) if len(frame) and len(frame["check"].iloc[0]) else None
+        for a, b, x, c, v in zip(self.cuts[:-1], self.cuts[1:], frame["low"], frame["check"], frame["value"], strict=True):
+            self.low[a:b], self.value[a:b] = unpack_sorted(x), unpack(v)
+            if self.check is not None:
+                self.check[a:b] = unpack(c)
+        self.order, self.first = grouped(self.low, self.check)
+        sizes = np.diff(self.first, append=len(self.order))
+        self.merged = kind.merge(self.value[self.order], self.first, sizes) if len(self.order) else self.value
+        self.every = np.empty(len(self.order), U64)  # each entry's merged value
+        self.every[self.order] = np.repeat(self.merged, sizes)
+
+
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({c: [] for c in _COLUMNS})
+
+
+def exchange(sent: DataFrame, kind: Kind, flushes_per_part: int = 1024) -> DataFrame:
+    """(flush, offsets, own): the offsets of told entries, and each flush's own row, from PACKED rows.
+
+    Rows of a negative bucket are handed on as they are, through the same
+    shuffle as the entries, so both come from one run of the task that made them.
+    ``sent`` is settled here and may be evaluated once only.
+    """
+    sent = settle(sent)
+    flushes = sent.where("bucket < 0").count()
+    parts = max(1, -(-flushes // flushes_per_part))
+    part = F.pmod(F.xxhash64("flush"), F.lit(parts))
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["bucket"].iloc[0] < 0:
+            return frame[["flush", "offsets", "own"]]
+        e = _Entries(frame, kind)
+        hit = np.flatnonzero(kind.told(e.value, e.every))
+        row = np.searchsorted(e.cuts, hit, "right") - 1
+        out, flush = [], frame["flush"].to_numpy()
+        which, first = np.unique(row, return_index=True)
+        for r, a, b in zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(row)][: len(which)], strict=True):
+            if flush[r] >= 0:
+                out.append((flush[r], pack_sorted(np.sort(unpack(frame["offsets"].iloc[r])[hit[a:b] - e.cuts[r]])), None))
+        return pd.DataFrame(out, columns=["flush", "offsets", "own"])
+
+    def condense(frame: pd.DataFrame) -> pd.DataFrame:
+        """One entry a hash of this (bucket, part), dealt to fine buckets; the flush is now the part."""
+        e = _Entries(frame, kind)
+        at = e.order[e.first]
+        low, check = e.low[at], e.check[at] if e.check is not None else None
+        fine = ((low & U64((1 << 24) - 1)) * U64(parts)) >> U64(24)
+        order = np.argsort(fine, kind="stable")
+        rows = deal(fine[order], int(frame["part"].iloc[0]), low[order], check[order] if check is not None else None, np.zeros(len(order), U64), e.merged[order])
+        return pd.DataFrame(rows, columns=list(_COLUMNS)).assign(coarse=int(frame["bucket"].iloc[0])) if rows else _empty().assign(coarse=[])
+
+    def resolve(frame: pd.DataFrame) -> pd.DataFrame:
+        """Entries whose value other parts have changed, for the part they came from."""
+        e = _Entries(frame, kind)
+        out = []
+        for k, (a, b) in enumerate(zip(e.cuts[:-1], e.cuts[1:], strict=True)):
+            new = a + np.flatnonzero(e.every[a:b] != e.value[a:b])
+            if len(new):
+                out.append((int(frame["coarse"].iloc[0]), -1, pack_sorted(e.low[new]), pack(e.check[new]) if e.check is not None else b"", pack(np.zeros(len(new), U64)), pack(e.every[new]), None, int(frame["flush"].iloc[k])))
+        return pd.DataFrame(out, columns=[*_COLUMNS, "part"])
+
+    answered = "flush long, offsets binary, own binary"
+    rows = sent.withColumn("part", part)
+    if parts > 1:
+        condensed = settle(rows.where("bucket >= 0").groupBy("bucket", "part").applyInPandas(condense, f"{PACKED}, coarse long"))
+        news = settle(condensed.groupBy("coarse", "bucket").applyInPandas(resolve, f"{PACKED}, part long"))
+        free(condensed)
+        rows = rows.union(news)
+    out = settle(rows.groupBy("bucket", "part").applyInPandas(answer, answered))
+    free(sent)
+    return out

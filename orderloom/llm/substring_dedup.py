@@ -1,15 +1,18 @@
 """Exact substring deduplication by fixed-block anchors.
 
-Any window of W words holds a whole block of W // 2 words that starts at a
-multiple of W // 2 in its document.  Those non-overlapping blocks are the index;
+Any window of W words holds a whole block of (W + 1) // 2 words that starts at a
+multiple of that in its document.  Those non-overlapping blocks are the index;
 every rolling block of every document probes it (both travel in one packed
 exchange).  A block that is indexed and occurs again is an anchor, and the
-windows around anchors are the candidates: their hashes are exchanged once more
-to find each one's smallest document, which extends the hits to maximal repeats.
-Words of windows that a smaller document has too are removed.
-
-Hashes: 64 bits a word; a candidate window is told by the 64 bits of its two
-halves together, of which the exchange compares 40 and the bucket's.
+windows around anchors are the candidates: they are exchanged once more to find
+each one's smallest document, which extends the hits to maximal repeats.  Words
+of windows that a smaller document has too are removed.
+
+Anchors only say where to look, so 40 bits and the bucket's tell them apart.
+Candidate windows are told apart by two 64-bit hashes, each of its own hashes of
+the words (other byte values, other bases): the exchange goes by the first, and
+every match is confirmed by the second, so one of different words would need
+both to agree (2**-128 for a pair).
 """
 
 from __future__ import annotations
@@ -21,176 +24,113 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..scratch import settle
-from .packed import FLUSH, deal, flush_ids, pack, pack_sorted, unpack, unpack_sorted
-from .words import SPACED, U64, Tokens, mix, ranges, sequences, slices, tokenize, utf8
+from ..scratch import free, settle
+from .packed import FLUSH, PACKED, Kind, coarse_of, deal, exchange, flush_ids, grouped, pack_many, pack_sorted, unpack_many, unpack_sorted
+from .words import SPACED, U64, Tokens, mix, ranges, second_hashes, sequences, slices, tokenize, utf8
+
+SIGN = U64(1 << 63)  # makes the order of signed ids that of unsigned ones
+INDEXED, MANY = U64(1), U64(2)
+
+
+def _merge_anchors(value: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduceat(value, first) | np.where(sizes > 1, MANY, U64(0))
+
+
+def _merge_windows(value: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(value, first)
 
-PACKED = "bucket long, flush long, low binary, offsets binary, docs binary, starts binary"
-ANSWER = "flush long, low binary, offsets binary, docs binary, starts binary"
+
+#: Blocks that are indexed and occur twice at least; windows that a smaller document has.
+ANCHORS = Kind(_merge_anchors, lambda own, merged: merged == (INDEXED | MANY))
+WINDOWS = Kind(_merge_windows, lambda own, merged: own > merged)
 
 
 class _Flush:
-    """Documents that were taken in but not yet written."""
+    """Documents that were taken in but not yet written, with their entries."""
 
     def __init__(self) -> None:
         self.ids: list[int] = []
         self.keys: list[int] = []
         self.starts: list[int] = []
         self.words = 0
-        self.hashes: list[np.ndarray] = []
-        self.offsets: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []  # hashes, check values or nothing, word offsets, values
 
-    def add(self, ids: list[int], keys: list[int], bounds: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, ids: list[int], keys: list[int], bounds: np.ndarray, hashes: np.ndarray, check: np.ndarray | None, at: np.ndarray, value: np.ndarray) -> None:
         self.ids += ids
         self.keys += keys
         self.starts += (bounds[:-1] + self.words).tolist()
-        self.hashes.append(hashes)
-        self.offsets.append(offsets)
+        self.parts.append((hashes, check, (at + self.words).astype(U64), value))
         self.words += int(bounds[-1])
 
-
-def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=["bucket", "flush", "low", "offsets", "docs", "starts"])
-
-
-def _emit(f: _Flush, flush: int, buckets: int, with_ids: bool) -> pa.RecordBatch | None:
-    """One row per bucket, and one of a negative bucket with the flush's documents."""
-    if not f.ids:
-        return None
-    starts = np.array(f.starts, U64)
-    ids = np.array(f.ids, np.int64)
-    parts = []
-    offsets = np.concatenate(f.offsets)
-    for bucket, low, off in deal(np.concatenate(f.hashes), offsets, buckets):
-        own = (b"", b"")
-        if with_ids:  # of the documents that have entries here
-            which = np.unique(np.searchsorted(starts, off >> U64(1), "right") - 1)
-            own = (pack(ids[which].view(U64)), pack_sorted(starts[which]))
-        parts.append((bucket, flush, pack_sorted(low), pack(off), *own))
-    parts.append((-1 - flush, flush, pack(np.array(f.keys, np.int64).view(U64)), b"", pack(ids.view(U64)), pack_sorted(starts)))
-    return _rows(parts)
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], Tokens, pa.RecordBatch]]:
-    """(ids, text hashes, words, rows) of slices of (doc_id, text_key, text, ...) batches."""
+    def emit(self, flush: int, kind: Kind) -> pa.RecordBatch | None:
+        """A row per bucket with one entry a hash, and the flush's own row.
+
+        Of equal hashes the entry is an occurrence with the smallest value.  The
+        own row keeps the documents, the other occurrences with their entry, and
+        those that are told already because the flush itself has a smaller value.
+        """
+        if not self.ids:
+            return None
+        hashes, check, at, value = (np.concatenate(x) if x[0] is not None else None for x in zip(*self.parts, strict=True))
+        self.parts = []
+        anchors = kind is ANCHORS
+        key = coarse_of(hashes) << U64(40) | hashes & U64((1 << 40) - 1) if anchors else hashes  # ascending within and over buckets
+        order, first = grouped(key, check)
+        sizes = np.diff(first, append=len(order))
+        group = np.repeat(np.arange(len(first)), sizes)
+        merged = kind.merge(value[order], first, sizes) if len(order) else value
+        if not anchors and (sizes > 1).any():  # an occurrence with the smallest value first
+            order = order[np.lexsort((at[order], value[order], group))]
+        lead = np.zeros(len(order), bool)
+        lead[first] = True
+        told = np.zeros(len(order), bool) if anchors else value[order] > merged[group]
+        others = ~lead & ~told
+        own = pack_many(
+            np.array(self.ids, np.int64).view(U64), np.array(self.keys, np.int64).view(U64), np.array(self.starts, U64),
+            at[order[others]], at[order[first]][group[others]], at[order[told]],
+        )
+        take = order[first]
+        low = hashes[take] & U64((1 << 40) - 1) if anchors else hashes[take]
+        rows = deal(coarse_of(hashes[take]), flush, low, check[take] if check is not None else None, at[take], merged)
+        rows.append((-1 - flush, flush, b"", b"", b"", b"", own))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "flush", "low", "check", "offsets", "value", "own"])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], Tokens, pa.RecordBatch, np.ndarray]]:
+    """(ids, text hashes, words, rows, bytes) of slices of (doc_id, text_key, text, ...) batches."""
     for batch in batches:
         data, at = utf8(batch.column(2))
         for lo, hi in slices(at):
-            part = batch.slice(lo, hi - lo)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist(), tokenize(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], SPACED), part
+            part, own = batch.slice(lo, hi - lo), data[at[lo] : at[hi]]
+            yield part.column(0).to_pylist(), part.column(1).to_pylist(), tokenize(own, at[lo : hi + 1] - at[lo], SPACED), part, own
 
 
-def _probe(block: int, buckets: int):
+def _probe(block: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, f = flush_ids(), _Flush()
-        for ids, keys, words, _ in _documents(batches):
+        numbers, f, mask = flush_ids(), _Flush(), U64((1 << bits) - 1)
+        for ids, keys, words, _, _ in _documents(batches):
             counts = np.diff(words.bounds)
             at = ranges(words.bounds[:-1], counts - block + 1)
             inside = at - np.repeat(words.bounds[:-1], np.maximum(counts - block + 1, 0))
-            h = sequences(words.hash, block)[at]
-            f.add(ids, keys, words.bounds, h, (at + f.words).astype(U64) << U64(1) | (inside % block == 0).astype(U64))
+            f.add(ids, keys, words.bounds, sequences(words.hash, block)[at] & mask, None, at, (inside % block == 0).astype(U64))
             if f.words >= FLUSH:
-                yield _emit(f, next(numbers), buckets, with_ids=False)
+                yield f.emit(next(numbers), ANCHORS)
                 f = _Flush()
-        if (last := _emit(f, next(numbers), buckets, with_ids=False)) is not None:
+        if (last := f.emit(next(numbers), ANCHORS)) is not None:
             yield last
 
     return run
 
 
-def _gather(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Low bits and offsets of a bucket's entries, and each row's place in them; no second copy is held."""
-    cuts = np.concatenate(([0], np.cumsum([int.from_bytes(b[:8], "little") for b in frame["low"]])))
-    low, off = np.empty(cuts[-1], U64), np.empty(cuts[-1], np.uint32)  # a document of 2**31 words exceeds what Arrow sends
-    for a, b, x, y in zip(cuts[:-1], cuts[1:], frame["low"], frame["offsets"], strict=True):
-        low[a:b], off[a:b] = unpack_sorted(x), unpack(y)
-    return low, off, cuts
-
-
-def _replies(frame: pd.DataFrame, off: np.ndarray, row: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((off, row))
-    off, row = off[order], row[order]
-    which, first = np.unique(row, return_index=True)
-    cuts = [*first.tolist(), len(row)]
-    return pd.DataFrame(
-        {"flush": frame["flush"].to_numpy()[which], "offsets": [pack_sorted(off[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
-    )
-
-
-def _groups(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the values, and where a new one begins in it."""
-    order = np.argsort(low)
-    s = low[order]
-    return order, np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-
-
-def _anchors(frame: pd.DataFrame) -> pd.DataFrame:
-    """Offsets of the blocks that are indexed and occur twice at least."""
-    low, off, cuts = _gather(frame)
-    order, first = _groups(low)
-    del low
-    sizes = np.diff(first, append=len(order))
-    indexed = np.logical_or.reduceat((off[order] & 1).astype(bool), first)
-    hit = order[np.repeat((sizes > 1) & indexed, sizes)]
-    return _replies(frame, off[hit] >> 1, np.searchsorted(cuts, hit, "right") - 1)
-
-
-def _repeats(frame: pd.DataFrame) -> pd.DataFrame:
-    """Offsets of the windows that a smaller document has."""
-    low, off, cuts = _gather(frame)
-    order, first = _groups(low)
-    del low
-    owner = np.empty(len(off), np.int64)
-    for a, b, docs, starts in zip(cuts[:-1], cuts[1:], frame["docs"], frame["starts"], strict=True):
-        owner[a:b] = unpack(docs).view(np.int64)[np.searchsorted(unpack_sorted(starts), (off[a:b] >> 1).astype(U64), "right") - 1]
-    owner = owner[order]
-    hit = order[owner > np.repeat(np.minimum.reduceat(owner, first), np.diff(first, append=len(order)))]
-    return _replies(frame, off[hit] >> 1, np.searchsorted(cuts, hit, "right") - 1)
-
-
-def _back(frame: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, text_key, places in the document) of a flush: its documents, and what the buckets answered."""
-    is_docs = frame["docs"].notna()
-    own = frame[is_docs]
-    answers = frame.loc[~is_docs, "offsets"]
-    if not len(answers) or not len(own):
-        return pd.DataFrame({"doc_id": [], "text_key": [], "places": []})
-    ids, keys = unpack(own["docs"].iloc[0]).view(np.int64), unpack(own["low"].iloc[0]).view(np.int64)
-    starts = unpack_sorted(own["starts"].iloc[0])
-    off = np.sort(np.concatenate([unpack_sorted(b) for b in answers]))
-    doc = np.searchsorted(starts, off, "right") - 1
-    which, first = np.unique(doc, return_index=True)
-    cuts = [*first.tolist(), len(off)]
-    return pd.DataFrame(
-        {"doc_id": ids[which], "text_key": keys[which], "places": [pack_sorted(off[a:b] - starts[d]) for d, a, b in zip(which, cuts[:-1], cuts[1:], strict=True)]}
-    )
-
-
-def _exchange(sent: DataFrame, answer) -> DataFrame:
-    """(doc_id, text_key, places) that ``answer`` finds in each bucket of a packed table.
-
-    Each flush's documents go through the same shuffle as its entries, so both
-    come from one run of the task that made them.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if frame["bucket"].iloc[0] < 0:
-            return frame[["flush", "low", "offsets", "docs", "starts"]]
-        return answer(frame).assign(low=None, docs=None, starts=None)[["flush", "low", "offsets", "docs", "starts"]]
-
-    found = settle(sent.groupBy("bucket").applyInPandas(run, ANSWER))
-    return settle(found.groupBy("flush").applyInPandas(_back, "doc_id long, text_key long, places binary")).dropDuplicates(["doc_id", "text_key"])
-
-
-def _windows(window: int, block: int, buckets: int):
+def _windows(window: int, block: int, bits: int):
     """Hashes of the windows that hold an anchor, of (doc_id, text_key, text, places) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, f = flush_ids(), _Flush()
-        for ids, keys, words, part in _documents(batches):
-            wanted = []
-            for places, lo, hi in zip(part.column(3).to_pylist(), words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
+        numbers, f, mask = flush_ids(), _Flush(), U64((1 << bits) - 1)
+        for ids, keys, words, part, data in _documents(batches):
+            wanted, owner = [], []
+            for i, places, lo, hi in zip(ids, part.column(3).to_pylist(), words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
                 last = hi - lo - window
                 p = unpack_sorted(places).astype(np.int64)
                 if last < 0 or not len(p):
@@ -199,21 +139,55 @@ def _windows(window: int, block: int, buckets: int):
                 np.add.at(mark, np.clip(p - (window - block), 0, last + 1), 1)
                 np.add.at(mark, np.clip(p + 1, 0, last + 1), -1)
                 wanted.append(lo + np.flatnonzero(np.cumsum(mark[:-1]) > 0))
+                owner.append(np.full(len(wanted[-1]), i, np.int64).view(U64) ^ SIGN)
             at = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
-            half = sequences(words.hash, block)
-            h = mix(half[at] + mix(half[at + window - block], 31), 32) if len(at) else np.zeros(0, U64)
-            f.add(ids, keys, words.bounds, h, (at + f.words).astype(U64) << U64(1))
+            value = np.concatenate(owner) if owner else np.zeros(0, U64)
+            h = mix(sequences(words.hash, window)[at], 32) if len(at) else np.zeros(0, U64)
+            check = sequences(second_hashes(data, words, SPACED), window)[at] if len(at) else np.zeros(0, U64)
+            f.add(ids, keys, words.bounds, h & mask, check, at, value)
             if f.words >= FLUSH:
-                yield _emit(f, next(numbers), buckets, with_ids=True)
+                yield f.emit(next(numbers), WINDOWS)
                 f = _Flush()
-        if (last := _emit(f, next(numbers), buckets, with_ids=True)) is not None:
+        if (last := f.emit(next(numbers), WINDOWS)) is not None:
             yield last
 
     return run
 
 
+def _back(frame: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, text_key, places in the document) of a flush: its documents, and the entries that were told."""
+    own = frame["own"].dropna()
+    none = pd.DataFrame({"doc_id": [], "text_key": [], "places": []})
+    if not len(own):
+        return none
+    ids, keys, starts, others, leaders, told = unpack_many(own.iloc[0])
+    answers = frame.loc[frame["own"].isna(), "offsets"]
+    hit = np.sort(np.concatenate([np.zeros(0, U64), *(unpack_sorted(b) for b in answers)]))
+    if len(hit) and len(leaders):
+        others = others[hit[np.minimum(np.searchsorted(hit, leaders), len(hit) - 1)] == leaders]
+    else:
+        others = others[:0]
+    off = np.unique(np.concatenate([hit, others, told]))
+    if not len(off):
+        return none
+    doc = np.searchsorted(starts, off, "right") - 1
+    which, first = np.unique(doc, return_index=True)
+    cuts = [*first.tolist(), len(off)]
+    return pd.DataFrame(
+        {"doc_id": ids.view(np.int64)[which], "text_key": keys.view(np.int64)[which], "places": [pack_sorted(off[a:b] - starts[d]) for d, a, b in zip(which, cuts[:-1], cuts[1:], strict=True)]}
+    )
+
+
+def _told(sent: DataFrame, kind: Kind, flushes_per_part: int) -> DataFrame:
+    """(doc_id, text_key, places) of the told entries."""
+    answered = exchange(sent, kind, flushes_per_part)
+    found = settle(answered.groupBy("flush").applyInPandas(_back, "doc_id long, text_key long, places binary"))
+    free(answered)
+    return found
+
+
 def _cut(window: int):
-    """Removes the words of the windows at ``places`` from (doc_id, text_key, text, places) rows."""
+    """Removes the words of the windows at ``places`` from (doc_id, text_key, text, places, extra, own id) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,38 +217,40 @@ def _cut(window: int):
                         here = y
                     kept.append(b"".join([*pieces, raw[here : text_at[k + 1]]]))
                 yield pa.record_batch(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string()), part.column(4)],
+                    [part.column(5), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string()), part.column(4)],
                     names=["doc_id", "n_words", "n_removed", "spans", "kept_text", "extra"],
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, words_per_bucket: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, flushes_per_part: int = 1024, hash_bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text, extra) of every row.
 
-    A word goes if a window of ``window`` (even) words that covers it also
+    A word goes if a window of ``window`` words that covers it also
     starts in a row with a smaller id; windows are judged on the input.  spans:
     the removed words as [first, after) pairs; kept_text: the text without
     them, white space around them left in place; extra: a struct of the other
     columns.  A null text has no words and an empty kept_text.  A null id counts
-    as larger than all others.  Rows with the same id don't remove each other's words; repeated rows are
-    treated alike.  An empty table gives an empty result.
+    as larger than all others (as large as 2**63 - 1).  Rows with the same id
+    don't remove each other's words; repeated rows are treated alike.  An empty
+    table gives an empty result.  ``hash_bits``: how much of the first hash the
+    exchange goes by; fewer are slower, not less exact.
     """
-    block = window // 2
+    if window < 1:
+        raise ValueError("a window has one word at least")
+    block = (window + 1) // 2
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     extra = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))
-    text = F.col(text_col).cast("string")
-    largest = 2**63 - 1
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(largest)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), extra.alias("extra"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, int(size / 6 / words_per_bucket))
+    text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    base = docs.select(F.coalesce(own, F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), extra.alias("extra"), own.alias("own"))
     lean = base.select("doc_id", "text_key", "text")
+    once = lambda df: df.dropDuplicates(["doc_id", "text_key"]).hint("merge")
     # The hits grow with the corpus, so they are joined by exchange at every size.
-    hits = settle(_exchange(lean.mapInArrow(_probe(block, buckets), PACKED), _anchors)).hint("merge")
-    around = lean.join(hits, ["doc_id", "text_key"]).mapInArrow(_windows(window, block, buckets), PACKED)
-    found = settle(_exchange(around, _repeats)).hint("merge")
+    hits = _told(lean.mapInArrow(_probe(block, hash_bits), PACKED), ANCHORS, flushes_per_part)
+    around = lean.join(once(hits), ["doc_id", "text_key"]).mapInArrow(_windows(window, block, hash_bits), PACKED)
+    found = _told(around, WINDOWS, flushes_per_part)
+    free(hits)
     kind = base.schema["extra"].dataType.simpleString()
-    joined = base.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "places", "extra")
-    out = joined.mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, spans array<struct<first:long,after:long>>, kept_text string, extra {kind}")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < largest, F.col("doc_id")))
+    joined = base.join(once(found), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "places", "extra", "own")
+    return joined.mapInArrow(_cut(window), f"doc_id long, n_words long, n_removed long, spans array<struct<first:long,after:long>>, kept_text string, extra {kind}")

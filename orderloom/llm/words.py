@@ -32,6 +32,8 @@ _give_back()
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=U64)
 _BASE, _WORD_BASE = int(_rng.integers(2**62, 2**63)) * 2 + 1, int(_rng.integers(2**62, 2**63)) * 2 + 1
+_OTHER_VALUE = _rng.integers(0, 2**64, 256, dtype=U64)
+_OTHER_BASE = int(_rng.integers(2**62, 2**63)) * 2 + 1
 _MASK = 2**64 - 1
 
 
@@ -76,7 +78,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes, _words = _Powers(_BASE), _Powers(_WORD_BASE)
+_bytes, _words, _others = _Powers(_BASE), _Powers(_WORD_BASE), _Powers(_OTHER_BASE)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -87,9 +89,9 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers | None = None) -> np.ndarray:
     """Hash of each ``values[start[i]:end[i]]``."""
-    up, down = _bytes.upto(len(values) + 1)
+    up, down = (powers or _bytes).upto(len(values) + 1)
     sums = np.zeros(len(values) + 1, U64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start])
@@ -120,6 +122,14 @@ def tokenize(data: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> Tokens:
     return Tokens(span_hashes(alphabet.value[data], start, end), start, end, np.searchsorted(start, at))
 
 
+def second_hashes(data: np.ndarray, words: Tokens, alphabet: Alphabet) -> np.ndarray:
+    """A second hash of each word, by other byte values and another base than the first one's."""
+    value = _OTHER_VALUE.copy()
+    if alphabet.value[0x41] == alphabet.value[0x61]:
+        value[0x41:0x5B] = value[0x61:0x7B]
+    return span_hashes(value[data], words.start, words.end, _others)
+
+
 def sequences(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` consecutive words, over document ends too."""
     n = len(hashes) - length + 1
