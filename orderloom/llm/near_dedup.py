@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
-from ..scratch import settle
+from ..scratch import free, settle
 from .words import SPACED_FOLDED, U64, mix, slices, tokenize, utf8
 
 _rng = np.random.default_rng(7)
@@ -88,7 +88,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, coordinates: int, rows: int
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, coordinates: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, keys) of every row; no shuffle."""
+    """(doc_id, text_key, n_shingles, cls, keys) of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,20 +99,25 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, coordinate
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(2).slice(lo, hi - lo),
                         pa.array(np.diff(bounds)),
                         pa.array(class_of(sets, bounds).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * coordinates), pa.array(sig.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "keys"],
+                    names=["doc_id", "text_key", "n_shingles", "cls", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, cls long, keys array<long>"
-    )
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, n_shingles long, cls long, keys array<long>")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, text_key); id and text hash together name a row, also where the id is null."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cls, members) of (doc_id, text) rows."""
+    """(cls, members) of (doc_id, text) rows; equal texts may come in several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,19 +163,19 @@ def near_duplicates(
     Rows are linked if 100 * |A and B| >= ``percent`` * |A or B|; component_id
     is the smallest id that is reachable.  A null or wordless text has an empty
     set and is linked with nothing.  Rows that share an id and a set are one
-    node; all of them are returned.  A null id is returned as it is: its
-    component is that of its set if other rows have it, else null, and such a
-    row without a component is kept.  Other columns of ``docs`` are not read.
-    An empty table gives an empty result.
+    node; all of them are returned.  A row without an id is linked like any other
+    and may bridge two documents; its component is the smallest id that it
+    reaches, or null if it reaches none, and then it is kept.  Other columns of
+    ``docs`` are not read.  An empty table gives an empty result.
     """
     rows = rows or rows_for(percent, coordinates)
     prints = settle(fingerprints(docs, id_col, text_col, shingle_words, coordinates, rows))
     classes = settle(
-        prints.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        prints.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("named"), F.min("text_key").alias("least"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
     )
     posts = classes.select("cls", "n", F.explode(F.slice("keys", 1, coordinates - matches + 1)).alias("key"))
     # A list's leader is the class with the smallest id: copies tend to come after what they were copied from.
-    order = F.coalesce("rep", F.lit(2**62))
+    order = F.coalesce("rep", F.lit(2**62) + F.pmod("cls", F.lit(2**62)))  # classes of rows without ids come last, each for itself
     lists = settle(
         classes.select("cls", order.alias("o"), F.explode(F.slice("keys", 1, coordinates - matches + 1)).alias("key"))
         .groupBy("key")
@@ -235,6 +240,7 @@ def near_duplicates(
     )
     named = settle(parts.join(settle(least), "component").select(F.col("node").alias("cls"), "low"))
     owner = settle(classes.select("cls", "rep").join(named, "cls", "left").select("cls", F.coalesce("low", "rep").alias("component_id")))
+    free(classes, lists, near, held, asked, sets, common, dealt, links, more, parts, named)
     full = prints.where("n_shingles > 0").select("doc_id", "n_shingles", "cls").join(owner, "cls", "left").select("doc_id", "n_shingles", "component_id")
     bare = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -242,9 +248,11 @@ def near_duplicates(
 
 def _sets_of(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(cls, members) of the classes asked for; one text is read of each."""
-    ids = settle(classes.join(asked, "cls", "left_semi").select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    return full_sets(texts, n).dropDuplicates(["cls"])
+    ids = settle(classes.join(asked, "cls", "left_semi").select(F.col("rep").alias("doc_id"), F.coalesce("named", "least").alias("text_key")).distinct())
+    rows = _rows(docs, id_col, text_col)
+    named = rows.join(ids.where("doc_id is not null"), ["doc_id", "text_key"], "left_semi")
+    bare = rows.where("doc_id is null").join(ids.where("doc_id is null"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    return full_sets(named.select("doc_id", "text").union(bare.select("doc_id", "text")), n).dropDuplicates(["cls"])
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int, matches: int) -> DataFrame:

@@ -52,39 +52,46 @@ def empty(spark):
 
 
 def _components(rows, n, percent):
-    """Each id's shingle set and a function to its component's smallest id, by comparing all pairs."""
-    sets = {}
-    for i, t in rows:
+    """Of each row, by comparing all pairs: its shingle set, and the smallest id in reach (None if there is none)."""
+    sets, part = [], list(range(len(rows)))
+    for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", _fold(t))
-        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-    part = {i: i for i in sets}
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
 
     def root(x):
         while part[x] != x:
             x = part[x]
         return x
 
-    for a in sets:
-        for b in sets:
+    for a in range(len(rows)):
+        for b in range(a):
             k = len(sets[a] & sets[b])
-            if a < b and k and 100 * k >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                part[y] = x
-    return sets, root
+            if k and 100 * k >= percent * len(sets[a] | sets[b]) or rows[a][0] is not None and rows[a][0] == rows[b][0] and sets[a] == sets[b]:
+                part[root(a)] = root(b)
+    low = {}
+    for x, (i, _) in enumerate(rows):
+        low[root(x)] = min((y for y in (low.get(root(x)), i) if y is not None), default=None)
+    return sets, [low[root(x)] for x in range(len(rows))]
+
+
+def _near_rows(got):
+    return sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["kept"]) for r in got)
+
+
+def _near_wanted(rows, n, percent):
+    sets, low = _components(rows, n, percent)
+    return sorted((repr(i), len(s), repr(c), i == c or c is None) for (i, _), s, c in zip(rows, sets, low, strict=True))
 
 
 @pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(docs, corpus, empty, n, percent):
-    sets, root = _components([(i, t) for i, t, *_ in corpus if i is not None], n, percent)
-    got = [r for r in near_dedup.near_duplicates(docs, shingle_words=n, percent=percent).collect() if r["doc_id"] is not None]
-    assert len(got) == len(corpus) - 1
-    assert all((r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), root(r["doc_id"]), root(r["doc_id"]) == r["doc_id"]) for r in got)
+    assert _near_rows(near_dedup.near_duplicates(docs, shingle_words=n, percent=percent).collect()) == _near_wanted([r[:2] for r in corpus], n, percent)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
 @pytest.mark.parametrize("n, percent, vocabulary", [(3, 85, 3), (3, 85, 500), (5, 80, 20)])
 def test_near_duplicates_of_one_text(spark, n, percent, vocabulary):
-    """Edits of few texts on both sides of the threshold: lists that hold many components."""
+    """Edits of few texts on both sides of the threshold: lists that hold many components; some rows have no id."""
     rng = random.Random(vocabulary)
     bases = [[f"b{k}w{j}" for j in range(length)] for k, length in enumerate((40, 90, 90))]
     rows = []
@@ -92,11 +99,20 @@ def test_near_duplicates_of_one_text(spark, n, percent, vocabulary):
         words = list(rng.choice(bases))
         for _ in range(rng.randrange(8)):
             words[rng.randrange(len(words))] = f"v{rng.randrange(vocabulary)}"
-        rows.append((i, " ".join(words[rng.randrange(4) :])))
-    sets, root = _components(rows, n, percent)
+        rows.append((None if i % 7 == 0 else i, " ".join(words[rng.randrange(4) :])))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=n, percent=percent).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), root(i)) for i, _ in rows}
-    assert len({root(i) for i in sets}) > 20
+    assert _near_rows(got) == _near_wanted(rows, n, percent)
+    assert len({r["component_id"] for r in got}) > 20
+
+
+def test_near_duplicates_through_a_row_without_id(spark):
+    """Two documents that only a row without id connects; rows without ids that reach none."""
+    w = [f"w{j}" for j in range(60)]
+    bridge = [*w[:57], "x1", "x2", "x3"]
+    rows = [(1, " ".join(w)), (None, " ".join(bridge)), (2, " ".join(["y1", "y2", "y3", *bridge[3:]])), (None, "only one"), (None, "only one")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=3, percent=85).collect()
+    assert _near_rows(got) == _near_wanted(rows, 3, 85)
+    assert {r["component_id"] for r in got if r["doc_id"]} == {1}
 
 
 def test_sharding(docs, corpus, empty):
