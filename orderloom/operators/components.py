@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..scratch import settle
+from ..scratch import free, settle
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         large = settle(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        free(before, large)
         last, seen = seen, mark(now)
         if seen == last:
             break
