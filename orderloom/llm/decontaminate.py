@@ -26,13 +26,13 @@ from .words import ALNUM_FOLDED, U64, ranges, slices, tokenize, utf8
 SHARD_WORDS = 1 << 18
 #: Windows looked up at once.
 AT_ONCE = 1 << 15
-SHARD = "shard long, doc_ids binary, starts binary, n_words long, terms binary, counts binary, positions binary"
+SHARD = "shard long, doc_ids binary, no_id binary, starts binary, n_words long, terms binary, counts binary, positions binary"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shards of the positional index of every row; a null text has no words, a null id is kept as 2**63 - 1."""
+    """Shards of the positional index of every row; a null text has no words, a null id is marked as such."""
 
-    def shard(number: int, ids: list[int], starts: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    def shard(number: int, ids: list[int | None], starts: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
         h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
         s = h[order]
@@ -40,13 +40,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         steps = np.diff(order, prepend=0)
         if len(first):
             steps[first] = order[first]  # each list starts anew
-        columns = [number, pack(np.array(ids, np.int64).view(U64)), pack_sorted(np.array(starts, U64)), len(h), pack_sorted(s[first]), pack(np.diff([*first, len(s)])), pack(steps)]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "doc_ids", "starts", "n_words", "terms", "counts", "positions"])
+        known = np.array([0 if i is None else i for i in ids], np.int64).view(U64)
+        columns = [number, pack(known), pack(np.array([i is None for i in ids], U64)), pack_sorted(np.array(starts, U64)), len(h), pack_sorted(s[first]), pack(np.diff([*first, len(s)])), pack(steps)]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "doc_ids", "no_id", "starts", "n_words", "terms", "counts", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = flush_ids()
-        ids: list[int] = []
+        ids: list[int | None] = []
         starts: list[int] = []
         hashes: list[np.ndarray] = []
         n = 0
@@ -64,8 +65,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield shard(next(numbers), ids, starts, hashes)
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id")
-    return docs.select(key, F.col(text_col).cast("string")).mapInArrow(run, SHARD)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SHARD)
 
 
 def _item_words(texts: list[str | None]) -> list[np.ndarray]:
@@ -74,10 +74,10 @@ def _item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [words.hash[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """Lists of (item, windows as a matrix of term hashes) of about ``most`` windows."""
     block, n = [], 0
-    for row in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(f"`{id_col}` is not null").toLocalIterator():
+    for row in items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).toLocalIterator():
         words = _item_words([row[1]])[0]
         if not len(words):
             continue
@@ -93,14 +93,14 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int
         yield block
 
 
-def _by_width(block: list[tuple[int, np.ndarray]], terms: np.ndarray, rare: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(item, places of its words in ``terms``, those from the rarest on) of the windows of each width."""
+def _by_width(block: list[tuple[int | None, np.ndarray]], terms: np.ndarray, rare: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item's place in the block, places of its words in ``terms``, those from the rarest on) of the windows of each width."""
     out = []
     for width in sorted({w.shape[1] for _, w in block}):
-        own = [(item, w) for item, w in block if w.shape[1] == width]
+        own = [(place, w) for place, (_, w) in enumerate(block) if w.shape[1] == width]
         at = np.searchsorted(terms, np.concatenate([w for _, w in own])).astype(np.int32)
         order = np.argsort(rare[at], axis=1, kind="stable").astype(np.int32)
-        out.append((np.repeat([item for item, _ in own], [len(w) for _, w in own]), at, order))
+        out.append((np.repeat([place for place, _ in own], [len(w) for _, w in own]), at, order))
     return out
 
 
@@ -145,23 +145,32 @@ class _Shard:
         return begin[doc == np.searchsorted(self.bounds, begin + len(numbers) - 1, "right")]
 
     def near(self, numbers: np.ndarray, order: np.ndarray, width: int) -> list[tuple[int, int]]:
-        """Spans of at most ``width`` words around an occurrence of the rarest term that hold every term, in any order."""
-        lists = [self.positions[self.first[t] : self.first[t] + self.counts[t]] for t in dict.fromkeys(numbers[order].tolist())]
-        out = []
-        for p in lists[0].tolist():
-            lo = max(p - width + 1, int(self.bounds[np.searchsorted(self.bounds, p, "right") - 1]))
-            hi = min(p + width, int(self.bounds[np.searchsorted(self.bounds, p, "right")]))
-            inside = [own[np.searchsorted(own, lo) : np.searchsorted(own, hi)] for own in lists[1:]]
-            if any(not len(x) for x in inside):
-                continue
-            at = np.concatenate([[p], *inside])
-            kind = np.concatenate([[0], *(np.full(len(x), k + 1) for k, x in enumerate(inside))])
-            for begin in np.unique(at[at <= p]).tolist():
-                held = (at >= begin) & (at < begin + width)
-                if begin + width > p and len(np.unique(kind[held])) == len(lists):
-                    last = max(int(at[held & (kind == k)].min()) for k in range(len(lists)))
-                    out.append((begin, last + 1))
-                    break
+        """All spans of at most ``width`` words of one document that hold every term, in any order, and no smaller such span.
+
+        Only places around the occurrences of the rarest term are looked at.
+        """
+        terms = list(dict.fromkeys(numbers[order].tolist()))
+        rare = self.positions[self.first[terms[0]] : self.first[terms[0]] + self.counts[terms[0]]]
+        at, kind = [rare], [np.zeros(len(rare), np.int64)]
+        for k, t in enumerate(terms[1:], 1):
+            own = self.positions[self.first[t] : self.first[t] + self.counts[t]]
+            here = np.searchsorted(rare, own)
+            gap = np.minimum(np.abs(own - rare[np.minimum(here, len(rare) - 1)]), np.abs(own - rare[np.maximum(here - 1, 0)]))
+            at.append(own[gap < width])
+            kind.append(np.full(len(at[-1]), k))
+            if not len(at[-1]):
+                return []
+        places, kinds = np.concatenate(at), np.concatenate(kind)
+        sort = np.argsort(places)
+        places, kinds = places[sort].tolist(), kinds[sort].tolist()
+        doc = np.searchsorted(self.bounds, places, "right").tolist()
+        out, last = [], {}  # last: each term's latest place in this document
+        for i, (p, k) in enumerate(zip(places, kinds, strict=True)):
+            if i and doc[i] != doc[i - 1]:
+                last = {}
+            last[k] = p
+            if len(last) == len(terms) and p - (begin := min(last.values())) < width and (not out or out[-1][0] < begin):
+                out.append((begin, p + 1))
         return out
 
 
@@ -190,7 +199,10 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     A window is ``window`` consecutive words of an item, or all of a shorter
     one; first and after are word offsets in the document, of exact phrases, or
     with ``width`` of the proximity matches within so many words.  Adjoining
-    occurrences of one item in a document come as one row.
+    occurrences of one item in a document come as one row; proximity matches, each
+    of which holds no smaller one, come as they are.  An item without id has a null
+    item_id.  Each block of ``windows_per_block`` windows is one pass over the
+    index, so a benchmark of 10**8 words takes 500 passes; raise it with memory.
     """
     spark = index.sparkSession
     found = None
@@ -198,10 +210,10 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
         terms = np.unique(np.concatenate([w.ravel() for _, w in block]))
         held = rarity(index, terms)
         rare = np.array([held.get(int(t), 0) for t in terms], np.int64)
-        shared = spark.sparkContext.broadcast((terms, _by_width(block, terms, rare)))
+        shared = spark.sparkContext.broadcast((terms, _by_width(block, terms, rare), [item for item, _ in block]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            terms, widths = shared.value
+            terms, widths, names = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
@@ -218,7 +230,7 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
                                 else:
                                     out += [(item, a, b) for a, b in s.near(numbers[k], order[lo + k], width)]
                     if out:
-                        yield _merged(row["shard"], s, np.array(out, np.int64))
+                        yield _merged(row["shard"], s, np.array(out, np.int64), names, width is None)
 
         part = settle(index.mapInArrow(run, "shard long, doc int, item_id long, first long, after long"))
         found = part if found is None else found.union(part)
@@ -227,16 +239,16 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     return found
 
 
-def _merged(shard: int, s: _Shard, hits: np.ndarray) -> pa.RecordBatch:
+def _merged(shard: int, s: _Shard, hits: np.ndarray, names: list[int | None], join: bool) -> pa.RecordBatch:
     doc = np.searchsorted(s.bounds, hits[:, 1], "right") - 1
     order = np.lexsort((hits[:, 1], hits[:, 0], doc))
     doc, (item, first, after) = doc[order], hits[order].T
     fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] > after[:-1])
+    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | ((first[1:] > after[:-1]) if join else ((first[1:] != first[:-1]) | (after[1:] != after[:-1])))
     at = np.flatnonzero(fresh)
     begin = s.bounds[doc[at]]
     return pa.record_batch(
-        [pa.array(np.full(len(at), shard)), pa.array(doc[at].astype(np.int32)), pa.array(item[at]), pa.array(first[at] - begin), pa.array(np.maximum.reduceat(after, at) - begin)],
+        [pa.array(np.full(len(at), shard)), pa.array(doc[at].astype(np.int32)), pa.array([names[i] for i in item[at].tolist()], pa.int64()), pa.array(first[at] - begin), pa.array(np.maximum.reduceat(after, at) - begin)],
         names=["shard", "doc", "item_id", "first", "after"],
     )
 
@@ -247,7 +259,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_hit counts the words inside any occurrence of a window; items are the ids
     with occurring windows, ascending; contaminated: n_hit > 0 and ``parts`` *
     n_hit >= n_words.  A null or wordless text has no hits, nor has an item
-    without words or id.  Repeated rows are judged each.  Empty tables give no
+    without words.  An item without id counts for n_hit but isn't in items.
+    Repeated rows are judged each.  Empty tables give no
     hits or no rows.  Other columns are not read.
     """
     index = settle(build_index(docs, id_col, text_col))
@@ -269,14 +282,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 ids, starts = unpack(r["doc_ids"]).view(np.int64), unpack_sorted(r["starts"]).astype(np.int64)
+                no_id = unpack(r["no_id"]).astype(bool)
                 yield pa.record_batch(
-                    [pa.array(np.full(len(ids), r["shard"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(np.diff(np.append(starts, r["n_words"])))],
+                    [pa.array(np.full(len(ids), r["shard"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, mask=no_id), pa.array(np.diff(np.append(starts, r["n_words"])))],
                     names=["shard", "doc", "doc_id", "n_words"],
                 )
 
-    every = index.select("shard", "doc_ids", "starts", "n_words").mapInArrow(rows, "shard long, doc int, doc_id long, n_words long")
+    every = index.select("shard", "doc_ids", "no_id", "starts", "n_words").mapInArrow(rows, "shard long, doc int, doc_id long, n_words long")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return every.join(by_doc, ["shard", "doc"], "left").select(
-        F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id")).alias("doc_id"), "n_words", n_hit.alias("n_hit"),
+        "doc_id", "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"), ((n_hit > 0) & (n_hit * parts >= F.col("n_words"))).alias("contaminated"),
     )

@@ -5,20 +5,21 @@ splits on the widest dimension down to small leaves, with the tight bounding box
 of every node.  A block of queries walks a tree best-first: a node's bound for a
 query is the largest inner product any point of its box can have, the node with
 the largest lead over the queries' kth scores comes first, and a node is opened
-only for queries whose bound reaches their kth score.  Those kth scores are
-propagated: every query is first searched in one shard, and what it found is the
-bound with which it enters all others.  Trees are stored, so shards can be
-searched again after a lost executor.
+only for queries whose bound reaches their kth score.
+
+Blocks of queries meet shards in waves of 1, then about a tenth, then all others;
+after each wave every query's kth score over all it has seen is propagated to
+the next.  A wave brings a tree and a run of blocks together once, so a tree is
+sent and read once for ``blocks_per_run`` blocks.  Trees are stored, so shards
+can be searched again after a lost executor.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import settle
@@ -101,10 +102,25 @@ class Best:
                 self.kth[q] = max(self.kth[q], s[order[-1]])
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
+def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 1))
 
 
+def _stored(tree: KDTree) -> list[bytes]:
+    left = np.array([c or [0, 0] for c in tree.left], np.int64)
+    return [x.tobytes() for x in (tree.ids, tree.points.astype("<i4"), tree.low.astype("<i4"), tree.high.astype("<i4"), np.array(tree.span, np.int64), left)]
+
+
+def _read(row: dict) -> KDTree:
+    tree = KDTree.__new__(KDTree)
+    tree.ids = np.frombuffer(row["ids"], np.int64)
+    wide = len(row["points"]) // 4 // len(tree.ids)
+    tree.points, tree.low, tree.high = (np.frombuffer(row[c], "<i4").reshape(-1, wide).astype(float) for c in ("points", "low", "high"))
+    tree.span = np.frombuffer(row["span"], np.int64).reshape(-1, 2).tolist()
+    tree.left = [c if c[1] else [] for c in np.frombuffer(row["children"], np.int64).reshape(-1, 2).tolist()]
+    return tree
+
+
 def top_k(
     vectors: DataFrame,
     query_ids: Column | None = None,
@@ -113,75 +129,70 @@ def top_k(
     k: int = 5,
     rows_per_shard: int = 8_192,
     queries_per_block: int = 512,
+    blocks_per_run: int = 32,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best other rows of each query row.
 
     ``query_ids``: condition on a row that makes it a query (default: id
     divisible by 50).  Equal scores: the smaller id first; fewer rows, fewer
-    ranks.  Null vectors or ids, and vectors with null or non-finite components,
-    take no part; vectors of another length than the most common are an error of
-    the input that raises.  A query's own id is no candidate, in repeated rows
-    neither; a row that is repeated counts once.  Scores are exact: components
-    are integers and sums stay below 2**53.
+    ranks.  Null or empty vectors, null ids, and vectors with null or non-finite
+    components, take no part, nor do vectors of another length than the most
+    common one (of equally common lengths the longest).  A query's own id is no
+    candidate, in repeated rows neither; a row that is repeated counts once, an
+    id with several vectors once for each.  Scores are exact: components are
+    integers below 2**31 (a larger one raises) and sums stay below 2**53.  Other
+    columns are not read, apart from those that ``query_ids`` names: id and v.
     """
-    spark = vectors.sparkSession
     rows = (
-        vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"))
+        vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), quantised(F.col(f"`{vector_col}`")).alias("v"))
         .where("id is not null and v is not null and size(v) > 0")
         .dropDuplicates(["id", "v"])
     )
     rows = settle(rows)
-    count = rows.count()
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("of")).orderBy(F.desc("of"), F.desc("n")).limit(1).collect()
+    length, count = lengths[0] if lengths else (0, 0)
+    rows = rows.where(F.size("v") == length)
     shards = max(1, -(-count // rows_per_shard))
-    cond = (F.col("id") % 50 == 0) if query_ids is None else query_ids
-    queries = rows.where(cond)
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // queries_per_block))
+    queries = rows.where((F.col("id") % 50 == 0) if query_ids is None else query_ids)
+    blocks = max(1, -(-queries.count() // queries_per_block))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, points = frame["id"].to_numpy(np.int64), _matrix(frame["v"])
-        tree = KDTree(ids, points)
-        order = [tree.ids.tobytes(), tree.points.astype("<f8").tobytes(), tree.low.tobytes(), tree.high.tobytes(), np.array(tree.span, np.int64).tobytes(), np.array([c or [0, 0] for c in tree.left], np.int64).tobytes()]
-        return pd.DataFrame([[frame["shard"].iloc[0], *order]], columns=["shard", "ids", "points", "low", "high", "span", "children"])
+        points = _matrix(frame["v"])
+        if np.abs(points).max() >= 2**31:
+            raise ValueError("a component is too large for exact scores")
+        return pd.DataFrame([[frame["shard"].iloc[0], *_stored(KDTree(frame["id"].to_numpy(np.int64), points))]], columns=["shard", "ids", "points", "low", "high", "span", "children"])
 
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     trees = settle(rows.select(shard, "id", "v").groupBy("shard").applyInPandas(grow, "shard int, ids binary, points binary, low binary, high binary, span binary, children binary"))
-    # A block's queries come together; a block's first shard is its own number's.
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     asked = settle(queries.select(block, "id", "v").groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("qs")))
-    numbers = trees.select("shard", F.dense_rank().over(Window.orderBy("shard")).alias("n"), F.count("*").over(Window.partitionBy()).alias("of"))
-    placed = settle(numbers)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                tree = KDTree.__new__(KDTree)
-                tree.ids = np.frombuffer(row["ids"], np.int64)
-                wide = len(row["points"]) // 8 // max(1, len(tree.ids))
-                tree.points, tree.low, tree.high = (np.frombuffer(row[c], "<f8").reshape(-1, wide) for c in ("points", "low", "high"))
-                tree.span = np.frombuffer(row["span"], np.int64).reshape(-1, 2).tolist()
-                tree.left = [c if c[1] else [] for c in np.frombuffer(row["children"], np.int64).reshape(-1, 2).tolist()]
-                qids, qs = np.array([q["id"] for q in row["qs"]], np.int64), _matrix([q["v"] for q in row["qs"]])
-                kth = np.array([x if x is not None else -np.inf for x in (q.get("kth") for q in row["qs"])], float)
-                best = Best(len(qids), k, kth)
-                tree.search(qids, qs, best)
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """One tree and a run of blocks of queries (with the score each has to reach)."""
+        out = []
+        if len(left):
+            tree = _read(left.iloc[0].to_dict())
+            for qs in right["qs"]:
+                qids = np.array([q["id"] for q in qs], np.int64)
+                best = Best(len(qids), k, np.array([-np.inf if q["kth"] is None else q["kth"] for q in qs], float))
+                tree.search(qids, _matrix([q["v"] for q in qs]), best)
                 n = [len(x) for x in best.ids]
-                if sum(n):
-                    yield pa.record_batch(
-                        [pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores).astype(np.int64))],
-                        names=["query_id", "vec_id", "score"],
-                    )
+                out.append(pd.DataFrame({"query_id": np.repeat(qids, n), "vec_id": np.concatenate(best.ids), "score": np.concatenate(best.scores).astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found_type = "query_id long, vec_id long, score long"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    home = asked.join(placed, F.pmod(asked["block"], placed["of"]) + 1 == placed["n"]).select("shard", "block", "qs")
-    first = settle(home.join(trees, "shard").repartition("block").mapInArrow(walk, found_type))
-    kth = ranked(first).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    # Each block, now with kth scores, meets every other shard: a stated query set against all rows, in blocks.
-    told = settle(
-        asked.select("block", F.explode("qs").alias("q")).join(kth, F.col("q.id") == F.col("query_id"), "left").groupBy("block").agg(F.collect_list(F.struct(F.col("q.id").alias("id"), F.col("q.v").alias("v"), "kth")).alias("qs"))
-    )
-    others = told.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(placed.count())))).join(placed, "n").where(F.pmod(F.col("block"), F.col("of")) + 1 != F.col("n"))
-    rest = others.select("shard", "block", "qs").repartition(max(shards, 2 * blocks), "shard", "block").join(trees, "shard").mapInArrow(walk, found_type)
-    return ranked(first.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Each block meets every shard: a stated query set against all rows, in blocks.  A block starts in a shard of its own.
+    found, done = None, 0
+    for upto in dict.fromkeys((1, max(1, shards // 10), shards)):
+        kth = (found.where(F.col("rank") == k) if found else queries.where("false").select(F.col("id").alias("query_id"), F.lit(0).cast("long").alias("score"))).select("query_id", F.col("score").alias("kth"))
+        told = asked.select("block", F.explode("qs").alias("q")).join(kth, F.col("q.id") == F.col("query_id"), "left")
+        told = told.groupBy("block").agg(F.collect_list(F.struct(F.col("q.id").alias("id"), F.col("q.v").alias("v"), "kth")).alias("qs"))
+        step = F.explode(F.sequence(F.lit(done), F.lit(upto - 1)))
+        sent = told.withColumn("step", step).select(F.pmod(F.col("block") + F.col("step"), F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("block") / blocks_per_run).cast("int").alias("run"), "qs")
+        sent = settle(sent)
+        runs = sent.select(F.col("shard").alias("s"), F.col("run").alias("r")).distinct()
+        new = trees.join(runs, F.col("shard") == F.col("s")).drop("shard").groupBy("s", "r").cogroup(sent.groupBy("shard", "run")).applyInPandas(walk, "query_id long, vec_id long, score long")
+        found = settle(ranked(new if found is None else found.drop("rank").unionByName(new)))
+        done = upto
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -15,12 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import settle
-from .words import U64, slices, utf8
+from .words import U64, ranges, slices, utf8
 
 PAD = U64(1)
+#: More languages than that meet their rows by exchange.
+BROADCAST_LANGS = 100_000
 
 
 @lru_cache(1)
@@ -98,29 +100,39 @@ def top_grams(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, size: int) -
 
 
 class Profiles(NamedTuple):
+    """Ranks by gram, as long as the profiles together: those of ``gram[i]`` are at ``first[i]`` to ``first[i + 1]``."""
+
     langs: list[str]
     gram: np.ndarray  # of any language, ascending
-    rank: np.ndarray  # (grams, languages); `size` where a language doesn't have it
+    first: np.ndarray
+    lang: np.ndarray  # place in langs
+    rank: np.ndarray
     size: int
     longest: int
 
-    def judge(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each document; score: how far the nearest language leads, 0 to 1."""
-        n = len(at) - 1
-        if not self.langs:
-            return ["und"] * n, np.zeros(n)
+    def distances(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, languages) of out-of-place distances, and how many grams each document's profile has."""
+        n, k = len(at) - 1, len(self.langs)
         doc, gram, rank = top_grams(*grams(data, at, self.longest), self.size)
-        where = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-        theirs = np.where((self.gram[where] == gram)[:, None], self.rank[where], self.size)
-        off = np.where(theirs < self.size, np.abs(theirs - rank[:, None]), self.size).astype(float)
-        distance = np.stack([np.bincount(doc, off[:, k], n) for k in range(len(self.langs))], 1)
         held = np.bincount(doc, minlength=n)
+        where = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
+        known = np.flatnonzero(self.gram[where] == gram)
+        times = self.first[where[known] + 1] - self.first[where[known]]
+        entry, of = ranges(self.first[where[known]], times), np.repeat(known, times)
+        saved = self.size - np.abs(self.rank[entry] - rank[of])  # of the distance that a missing gram has
+        return (held * self.size)[:, None] - np.bincount(doc[of] * k + self.lang[entry], saved, n * k).reshape(n, k), held
+
+    def judge(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Nearest language of each document, and how near it is, 0 to 1."""
+        if not self.langs:
+            return ["und"] * (len(at) - 1), np.zeros(len(at) - 1)
+        distance, held = self.distances(data, at)
         best = distance.argmin(1)
-        least = distance[np.arange(n), best] / np.maximum(1, held * self.size)
+        least = distance.min(1) / np.maximum(1, held * self.size)
         return ["und" if not h else self.langs[b] for h, b in zip(held, best, strict=True)], np.where(held > 0, np.clip(1 - least, 0, 1), 0.0)
 
 
-def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_lang: int = 500, size: int = 400, longest: int = 3, most_langs: int = 1000) -> Profiles:
+def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_lang: int = 500, size: int = 400, longest: int = 3) -> Profiles:
     """Profiles from about ``docs_per_lang`` labelled rows of each language.
 
     A language's rows are taken at a rate of docs_per_lang / its rows (all, if it
@@ -128,10 +140,12 @@ def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str =
     are left out, and languages beyond the ``most_langs`` most frequent.  The
     texts are counted whole, on the executors; ``size`` grams a language come back.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, lang_col).alias("h")).where("lang is not null")
-    rates = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)), lang_col).alias("h")).where("lang is not null")
+    rates = settle(rows.groupBy("lang").count())
+    if rates.count() <= BROADCAST_LANGS:
+        rates = F.broadcast(rates)
     part = F.pmod(F.col("h"), F.lit(1_000_000)) * F.col("count") < F.lit(docs_per_lang * 1_000_000)
-    sample = rows.join(F.broadcast(rates), "lang").where(part & F.col("text").isNotNull()).select("lang", "text")  # most_langs rows at most
+    sample = rows.join(rates, "lang").where(part & F.col("text").isNotNull()).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,16 +161,15 @@ def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str =
                 )
 
     counts = settle(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    got = []
-    for (lang,) in counts.select("lang").distinct().orderBy("lang").collect():
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size).collect()
-        got += [{"lang": lang, "gram": r["gram"], "r": k} for k, r in enumerate(top)]
-    langs = sorted({r["lang"] for r in got})
-    gram = np.unique(np.array([r["gram"] for r in got], U64))
-    rank = np.full((len(gram), len(langs)), size, np.int64)
-    for r in got:
-        rank[np.searchsorted(gram, U64(r["gram"])), langs.index(r["lang"])] = r["r"]
-    return Profiles(langs, gram, rank, size, longest)
+    rank = (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).alias("rank")
+    got = counts.select("lang", "gram", rank).where(F.col("rank") < size).toArrow()  # `size` rows a language
+    langs = sorted(set(got.column("lang").to_pylist()))
+    place = {name: k for k, name in enumerate(langs)}
+    lang = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
+    gram, rank = got.column("gram").to_numpy().astype(U64), got.column("rank").to_numpy().astype(np.int64)
+    order = np.lexsort((lang, gram))
+    every, first = np.unique(gram[order], return_index=True)
+    return Profiles(langs, every, np.append(first, len(order)), lang[order], rank[order], size, longest)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
