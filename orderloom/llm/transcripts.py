@@ -101,7 +101,7 @@ def fit_chain(labelled: DataFrame, conv_col: str = "conv_id", order_col: str = "
     total, per_marker = show.sum(1), SYMBOLS // (len(MARKERS) + 1)
     for r, role in enumerate(roles):
         for number, name in enumerate(MARKERS, 1):
-            show[r, number * per_marker : (number + 1) * per_marker] += total[r] / per_marker * (0.01 if name == role else 0.00001)
+            show[r, number * per_marker : (number + 1) * per_marker] += total[r] / per_marker * (0.01 if name == role else 0.00001) - smooth / 10
     return Chain(roles, np.log(start / max(start.sum(), 1e-9)), np.log(move / np.maximum(move.sum(1, keepdims=True), 1e-9)), np.log(show / np.maximum(show.sum(1, keepdims=True), 1e-9)))
 
 
