@@ -4,7 +4,8 @@ Language ID (documents without letters go), MinHash near-dedup (one document of
 each group stays), substring dedup (repeated passages are cut out, documents
 that have no word left go), benchmark decontamination (contaminated documents
 go), byte-level BPE (ids of what is left).  Rows that share a doc_id are one
-document; rows without one stay, apart from the first rule.
+document.  A row without one is a document of its own, apart from equal texts
+without ids, of which one stays, and no document goes as its copy.
 """
 
 from __future__ import annotations
@@ -15,6 +16,17 @@ from orderloom.llm import byte_bpe, decontaminate as decon, language_id, near_de
 from orderloom.llm.queries import remainder, table
 from orderloom.scratch import settle
 
+#: Stands in for the id of a row that has none, above all ids.
+NO_ID = 2**62
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key per document: its id, or one by its text that is larger than every id; equal texts without ids become one row."""
+    own = F.lit(NO_ID) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(NO_ID))
+    rows = docs.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), own))
+    return rows.where("doc_id is not null").unionByName(rows.where("doc_id is null").dropDuplicates([ROW]))
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told keep the told one in lang."""
@@ -25,8 +37,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are near copies (five-word shingles, 0.8) of one with a smaller id."""
-    gone = settle(near_dedup.near_duplicates(docs, shingle_words=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    gone = settle(near_dedup.near_duplicates(rows, id_col=ROW, shingle_words=5, percent=80).where("not kept").select(F.col("doc_id").alias(ROW)).distinct())
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +51,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without contaminated documents."""
-    judged = decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = settle(judged.where("contaminated and doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    judged = decon.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    gone = settle(judged.where("contaminated").select(F.col("doc_id").alias(ROW)).distinct())
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
