@@ -64,6 +64,7 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Strings(NamedTuple):
+    hash: np.ndarray  # of each distinct string, ascending
     code: np.ndarray  # (distinct strings, WIDE); 0 pads
     doc: np.ndarray  # of each occurrence
     which: np.ndarray  # its string
@@ -88,10 +89,10 @@ def strings_of(data: np.ndarray, at: np.ndarray) -> Strings:
     stop = np.minimum(begin + WIDE, np.repeat(end, pieces))
     doc = np.repeat(doc, pieces)
     code = symbols()[points]
-    _, first, which = np.unique(span_hashes(mix(code.astype(U64)), begin, stop), return_index=True, return_inverse=True)
+    distinct, first, which = np.unique(span_hashes(mix(code.astype(U64)), begin, stop), return_index=True, return_inverse=True)
     cells = begin[first][:, None] + np.arange(WIDE)
     matrix = np.where(cells < stop[first][:, None], np.concatenate([code, np.zeros(1, np.int32)])[np.minimum(cells, len(code))], 0) if len(first) else np.zeros((0, WIDE), np.int32)
-    return Strings(matrix, doc, which)
+    return Strings(distinct, matrix, doc, which)
 
 
 def subsequences(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +137,19 @@ class Landmarks:
         f, w = subsequences(encode_words(words))
         row, cell = np.nonzero(w)
         self.used, where = np.unique(f[row, cell], return_inverse=True)
-        self.phi = np.zeros((len(words), len(self.used)))
-        np.add.at(self.phi, (row, where), w[row, cell])
-        self.phi /= np.maximum(np.linalg.norm(self.phi, axis=1), 1e-12)[:, None]
+        phi = np.zeros((len(words), len(self.used)))
+        np.add.at(phi, (row, where), w[row, cell])
+        phi /= np.maximum(np.linalg.norm(phi, axis=1), 1e-12)[:, None]
+        # Landmarks and their weights by subsequence: those of ``used[i]`` are at first[i + 1] to first[i + 2]; place 0 has none.
+        at, self.mark = np.nonzero(phi.T)
+        self.weight = phi.T[at, self.mark]
+        self.first = np.concatenate(([0], np.searchsorted(at, np.arange(len(self.used) + 1))))
         self.seen = np.zeros(1 << SEEN, bool)
         self.seen[_hashed(self.used)] = True
         self.most = np.zeros(len(self.used) + 1, np.float32)
-        self.most[1:] = self.phi.max(0) if len(words) else 0
-        values, basis = np.linalg.eigh((self.phi @ self.phi.T) ** SHARP) if len(words) else (np.zeros(0), np.zeros((0, 0)))
+        self.most[1:] = phi.max(0) if len(words) else 0
+        self.dull = np.zeros(0, U64)  # hashes of strings that were found similar to no landmark
+        values, basis = np.linalg.eigh((phi @ phi.T) ** SHARP) if len(words) else (np.zeros(0), np.zeros((0, 0)))
         good = values > 1e-8
         self.whiten = basis[:, good] / np.sqrt(values[good])
 
@@ -158,11 +164,13 @@ class Landmarks:
         return out.reshape(f.shape)
 
     def _similar(self, f: np.ndarray, w: np.ndarray, places: np.ndarray) -> np.ndarray:
-        n, wide = len(f), len(self.used) + 1
-        out, step = np.empty((n, len(self.words))), max(16, (1 << 21) // wide)
-        for lo in range(0, n, step):
-            own = places[lo : lo + step]
-            out[lo : lo + step] = np.bincount((np.arange(len(own))[:, None] * wide + own).ravel(), w[lo : lo + step].ravel(), len(own) * wide).reshape(-1, wide)[:, 1:] @ self.phi.T
+        """(strings, landmarks), through the landmarks that have a string's subsequences."""
+        n, k = len(f), len(self.words)
+        cell = np.flatnonzero(places.ravel())
+        at = places.ravel()[cell]
+        begin, times = self.first[at], self.first[at + 1] - self.first[at]
+        entry = ranges(begin, times)
+        out = np.bincount(np.repeat(cell // places.shape[1] * k, times) + self.mark[entry], np.repeat(w.ravel()[cell], times) * self.weight[entry], n * k).reshape(n, k)
         return out / np.maximum(norms(f, w), 1e-12)[:, None]
 
     def features(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -171,9 +179,10 @@ class Landmarks:
         s = strings_of(data, at)
         if not len(s.code) or not self.words:
             return out
-        sim, rows = [], np.full(len(s.code), -1)  # of the strings that may be similar to a landmark
-        length, found = (s.code > 0).sum(1), 0
-        for wide, those in ((10, np.flatnonzero(length <= 10)), (WIDE, np.flatnonzero(length > 10))):
+        fresh = self.dull[np.minimum(np.searchsorted(self.dull, s.hash), len(self.dull) - 1)] != s.hash if len(self.dull) else np.ones(len(s.hash), bool)
+        string, mark, value = [], [], []
+        length = (s.code > 0).sum(1)
+        for wide, those in ((10, np.flatnonzero(fresh & (length <= 10))), (WIDE, np.flatnonzero(fresh & (length > 10)))):
             for lo in range(0, len(those), 4096):
                 some = those[lo : lo + 4096]
                 f, w = subsequences(s.code[some, :wide])
@@ -182,15 +191,29 @@ class Landmarks:
                 maybe = np.flatnonzero((self.most[places] * w).sum(1) >= FLOOR * np.sqrt(np.maximum((w * w).sum(1), 1e-12)))
                 if len(maybe):
                     got = self._similar(f[maybe], w[maybe], places[maybe])
-                    near = np.flatnonzero((got >= FLOOR).any(1))
-                    rows[some[maybe[near]]] = found + np.arange(len(near))
-                    sim.append(np.where(got[near] >= FLOOR, got[near], 0) ** SHARP)
-                    found += len(near)
-        hit = np.flatnonzero(rows[s.which] >= 0)
-        if len(hit):
-            np.maximum.at(out, s.doc[hit], np.concatenate(sim)[rows[s.which[hit]]])
+                    near, which = np.nonzero(got >= FLOOR)
+                    string.append(some[maybe[near]])
+                    mark.append(which)
+                    value.append(got[near, which] ** SHARP)
+        none = np.zeros(0, np.int64)
+        string, mark, value = np.concatenate([none, *string]), np.concatenate([none, *mark]), np.concatenate([none.astype(float), *value])
+        similar = np.zeros(len(s.hash), bool)
+        similar[string] = True
+        self._remember(s.hash[fresh & ~similar])
+        order = np.argsort(string, kind="stable")
+        mark, value = mark[order], value[order]
+        first = np.searchsorted(string[order], np.arange(len(s.hash) + 1))
+        hit = np.flatnonzero(similar[s.which])
+        times = first[s.which[hit] + 1] - first[s.which[hit]]
+        entry = ranges(first[s.which[hit]], times)
+        np.maximum.at(out.reshape(-1), np.repeat(s.doc[hit], times) * len(self.words) + mark[entry], value[entry])
         return out
 
+    def _remember(self, hashes: np.ndarray, most: int = 1 << 20) -> None:
+        """So that words of one worker's texts are compared once; when there are too many, only the last are kept."""
+        if len(hashes):
+            self.dull = np.sort(np.concatenate([self.dull, hashes])) if len(self.dull) + len(hashes) <= most else hashes
+
 
 def spread(words: Iterator[str], most: int, near: float = 0.6) -> list[str]:
     """The first ``most`` words that are less similar than ``near`` to each word taken before; places left go to the first of the others."""
