@@ -8,10 +8,11 @@ skipped character of a gap of up to two costs a factor, so inserted characters a
 separators lower a similarity only a little.  It is normalised, so 1 is the same
 word.  Composed and decomposed accents are different letters, and where words are
 not spaced, a landmark can only be a whole run of letters.  Landmarks are words that mark label 1 in the fitted sample.  A text's
-feature for a landmark is its best string's similarity (0 below ``FLOOR``), to the
-power ``SHARP`` (a kernel too), which sets a landmark's own forms apart from words
-that merely share syllables; the Nyström map of those features goes into a linear SVM, whose margin is calibrated
-to a probability.
+feature for a landmark is its best string's similarity (0 below ``FLOOR``).  The
+kernel is raised to each of ``POWERS`` and the results are added (a kernel too):
+the low powers follow altered insults, the high one sets a landmark's own forms
+apart from words that merely share syllables.  The Nyström map of that sum goes
+into a linear SVM, whose margin is calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..scratch import settle
 from .words import SPACED, U64, mix, ranges, slices, span_hashes, tokenize, utf8
 
-GAP, DECAY, FLOOR, SHARP = 1, 0.5, 0.45, 2  # GAP: the symbol of what is no letter
+GAP, DECAY, FLOOR, POWERS = 1, 0.5, 0.45, (1, 2, 8)  # GAP: the symbol of what is no letter
 WIDE, STEP, SHORT = 24, 12, 2  # of a string's window, between windows, of a short word
 STEPS = [(a, b, DECAY ** (a + b - 2)) for a in (1, 2, 3) for b in (1, 2, 3)]
 BITS, SEEN = 21, 18  # of a code point, of a hashed subsequence
@@ -149,9 +150,14 @@ class Landmarks:
         self.most = np.zeros(len(self.used) + 1, np.float32)
         self.most[1:] = phi.max(0) if len(words) else 0
         self.dull = np.zeros(0, U64)  # hashes of strings that were found similar to no landmark
-        values, basis = np.linalg.eigh((phi @ phi.T) ** SHARP) if len(words) else (np.zeros(0), np.zeros((0, 0)))
-        good = values > 1e-8
-        self.whiten = basis[:, good] / np.sqrt(values[good])
+        self.whiten = []
+        for power in POWERS if len(words) else ():
+            values, basis = np.linalg.eigh((phi @ phi.T) ** power)
+            good = values > 1e-8
+            self.whiten.append(basis[:, good] / np.sqrt(values[good] * len(POWERS)))
+
+    def nystroem(self, similar: np.ndarray) -> np.ndarray:
+        return np.hstack([similar**power @ w for power, w in zip(POWERS, self.whiten, strict=True)])
 
     def places(self, f: np.ndarray) -> np.ndarray:
         """1 and more: the subsequence's place in ``used``; 0: in no landmark."""
@@ -174,7 +180,7 @@ class Landmarks:
         return out / np.maximum(norms(f, w), 1e-12)[:, None]
 
     def features(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Best similarity of each text's strings to each landmark, sharpened."""
+        """Best similarity of each text's strings to each landmark."""
         out = np.zeros((len(at) - 1, len(self.words)))
         s = strings_of(data, at)
         if not len(s.code) or not self.words:
@@ -194,7 +200,7 @@ class Landmarks:
                     near, which = np.nonzero(got >= FLOOR)
                     string.append(some[maybe[near]])
                     mark.append(which)
-                    value.append(got[near, which] ** SHARP)
+                    value.append(got[near, which])
         none = np.zeros(0, np.int64)
         string, mark, value = np.concatenate([none, *string]), np.concatenate([none, *mark]), np.concatenate([none.astype(float), *value])
         similar = np.zeros(len(s.hash), bool)
@@ -248,7 +254,7 @@ class Model(NamedTuple):
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not self.landmarks.words:
             return np.full(len(at) - 1, 1 / (1 + np.exp(-self.shift)))
-        margin = _plus_one(self.landmarks.features(data, at) @ self.landmarks.whiten) @ self.weight
+        margin = _plus_one(self.landmarks.nystroem(self.landmarks.features(data, at))) @ self.weight
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
@@ -289,16 +295,17 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 8_000, landmarks: int = 256, least_rate: float = 0.4, least_docs: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 8_000, landmarks: int = 256, least_docs: int = 3, chance: float = 1.0) -> Model:
     """A model from at most ``docs_per_label`` labelled ids of either label (the smallest by a hash of the id) and their texts.
 
     An id with several labels counts as 1 if any is.
-    Landmarks are words held by ``least_docs`` texts with label 1, whose texts have
-    label 1 at a rate of ``least_rate`` at least (lower end of Wilson's interval).  The
-    largest z-scores come first; words beyond the third whose first and last text are
-    the same come after all others.  Words similar to one taken before (0.6), such as
-    forms of its stem, get only the places that the rest leave.  Of equal texts with one label one is taken; near
-    copies all are.
+    Landmarks are words that mark label 1 more than chance explains: of all words
+    held by ``least_docs`` texts, ``chance`` at most are expected to do so by
+    accident (Chernoff's bound on their share of texts with label 1, over all words
+    tested).  The clearest come first; words beyond the third whose first and last
+    text are the same come after all others.  Words similar to one taken before
+    (0.6), such as forms of its stem, get only the places that the rest leave.  Of
+    equal texts with one label one is taken; near copies all are.
     """
     spark = docs.sparkSession
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -311,22 +318,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = settle(rows.dropDuplicates(["y", "h"]))
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    words = (
+    words = settle(
         sample.select("h", "y", F.explode("words").alias("w")).where(F.col("w").rlike(r"^[\p{L}\p{M}]{3,24}$"))
         .groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"), F.min(F.when(F.col("y") > 0, F.col("h"))).alias("first"), F.max(F.when(F.col("y") > 0, F.col("h"))).alias("last"))
     )
-    mean = (F.col("a") + F.col("b")) / (pos + neg or 1)
-    z = (F.col("a") / max(pos, 1) - F.col("b") / max(neg, 1)) / F.sqrt(mean * (1 - mean) * (1 / max(pos, 1) + 1 / max(neg, 1)) + 1e-12)
-    n, c = F.col("a") + F.col("b"), 1.96
+    n, base = F.col("a") + F.col("b"), pos / (pos + neg or 1)
     p = F.col("a") / n
-    low = (p + c * c / (2 * n) - c * F.sqrt(p * (1 - p) / n + c * c / (4 * n * n))) / (1 + c * c / n)
+    part = lambda x, of: F.when(x > 0, x * F.log(x / max(of, 1e-12))).otherwise(0.0)
+    tested = words.where(n >= least_docs)
+    clear = F.when(p > base, n * (part(p, base) + part(1 - p, 1 - base))).otherwise(0.0)
+    least = math.log(max(1, tested.count()) / chance)
     top = (
-        words.withColumn("z", z).where((F.col("a") >= least_docs) & (low >= least_rate)).withColumn("k", F.row_number().over(Window.partitionBy("first", "last").orderBy(F.desc("z"), "w")))
+        tested.withColumn("z", clear).where((F.col("z") >= least) & (F.col("a") >= least_docs)).withColumn("k", F.row_number().over(Window.partitionBy("first", "last").orderBy(F.desc("z"), "w")))
         .orderBy(F.col("k") > 3, F.desc("z"), "w").select("w")
     )
     marks = Landmarks(spread((r["w"] for r in top.toLocalIterator()), landmarks))
-    base = (pos + 0.5) / (pos + neg + 1)
-    constant = Model(Landmarks([]), np.zeros(1), 1.0, float(np.log(base / (1 - base))))
+    rate = (pos + 0.5) / (pos + neg + 1)
+    constant = Model(Landmarks([]), np.zeros(1), 1.0, float(np.log(rate / (1 - rate))))
     if not marks.words or not pos or not neg:
         return constant
     shared = spark.sparkContext.broadcast(marks)
@@ -341,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.select("y", "text").mapInArrow(measure, "y int, f array<double>").toArrow()  # 2 * docs_per_label rows at most
     y = np.array(got.column("y").to_pylist())
-    x = np.array(got.column("f").to_pylist()) @ marks.whiten
+    x = marks.nystroem(np.array(got.column("f").to_pylist()))
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order]
     w = fit_svm(x, y)

@@ -266,7 +266,7 @@ def _kernel(a, b):
 
 
 def test_toxicity_kernel():
-    """Features are the best kernel values of a text's words, sharpened, from the floor on."""
+    """Features are the best kernel values of a text's words, from the floor on."""
     rng = random.Random(10)
     marks = ["zwurfel", "quonkins", "crétîné", "дурачина", "aaaaa"]
     words = ["".join(rng.choice("zwurfelqonkisé.") for _ in range(rng.randint(3, 14))) for _ in range(400)] + ["z.wurfel", "zwurrfel", "QUONKINS", "quon-kins", "aaaa", "дура.чина", "abcdef"]
@@ -275,7 +275,7 @@ def test_toxicity_kernel():
     for row, text in zip(got, texts, strict=True):
         for value, mark in zip(row.tolist(), marks, strict=True):
             best = max((_kernel(w, mark) for w in text.split()), default=0.0)
-            assert value == pytest.approx(best**toxicity.SHARP if best >= toxicity.FLOOR else 0.0, abs=1e-5) or abs(best - toxicity.FLOOR) < 1e-6
+            assert value == pytest.approx(best if best >= toxicity.FLOOR else 0.0, abs=1e-5) or abs(best - toxicity.FLOOR) < 1e-6
 
 
 def test_toxicity_of_odd_tables(spark):
@@ -322,11 +322,11 @@ def test_toxicity_keeps_texts_of_common_words(spark):
 
 
 def test_toxicity_spreads_landmarks(spark):
-    """Forms of one stem in many texts leave a place to an insult in few."""
+    """Forms of one stem in many texts leave a place to an insult in few (but more than chance would make)."""
     rng = random.Random(9)
     word = lambda letters="abcdefgh": "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
     forms = sorted({"zwurfel" + word() for _ in range(80)})
-    bad = [forms[i % len(forms)] for i in range(6 * len(forms))] + ["quonkins"] * 4
+    bad = [forms[i % len(forms)] for i in range(6 * len(forms))] + ["quonkins"] * 24
     rows = [(i, " ".join(word() for _ in range(20)) + (f" {bad[i]}" if i < len(bad) else ""), int(i < len(bad))) for i in range(2 * len(bad))]
     model, got = _judge(spark, rows, ["so quonkins", "zwurfelab", "abc defg"])
     assert "quonkins" in model.landmarks.words and min(got[:2]) > 0.5 > got[2]
