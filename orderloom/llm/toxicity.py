@@ -33,6 +33,7 @@ from .words import SPACED, U64, mix, ranges, slices, span_hashes, tokenize, utf8
 GAP, DECAY, FLOOR, POWERS = 1, 0.5, 0.45, (1, 2, 8)  # GAP: the symbol of what is no letter
 WIDE, STEP, SHORT = 24, 12, 2  # of a string's window, between windows, of a short word
 STEPS = [(a, b, DECAY ** (a + b - 2)) for a in (1, 2, 3) for b in (1, 2, 3)]
+STEMS = (5, 7)  # lengths of word beginnings that are candidates beside the words
 BITS, SEEN = 21, 18  # of a code point, of a hashed subsequence
 
 
@@ -299,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most ``docs_per_label`` labelled ids of either label (the smallest by a hash of the id) and their texts.
 
     An id with several labels counts as 1 if any is.
-    Landmarks are words that mark label 1 more than chance explains: of all words
-    held by ``least_docs`` texts, ``chance`` at most are expected to do so by
+    Landmarks are words, or beginnings of words (so that the forms of a stem count
+    together), that mark label 1 more than chance explains: of all those held by ``least_docs`` texts, ``chance`` at most are expected to do so by
     accident (Chernoff's bound on their share of texts with label 1, over all words
     tested).  The clearest come first; words beyond the third whose first and last
     text are the same come after all others.  Words similar to one taken before
@@ -313,7 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picks = [told.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(docs_per_label) for y in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     chosen = texts.join(F.broadcast(picks[0].union(picks[1])), "id")  # 2 * docs_per_label rows at most
-    tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
+    spelled = F.split(F.lower("text"), r"[^\p{L}\p{M}]+")
+    tokens = F.array_distinct(F.flatten(F.transform(spelled, lambda w: F.array(w, *(F.substring(w, 1, n) for n in STEMS)))))
     rows = settle(chosen.select(F.xxhash64("text").alias("h"), "y", "text", tokens.alias("words")))
     sample = settle(rows.dropDuplicates(["y", "h"]))
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
