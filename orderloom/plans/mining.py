@@ -39,7 +39,11 @@ def _ranked(m: Model) -> DataFrame:
     from ..scratch import settle
 
     table = settle(R.scored(R.metrics(m)))
-    return R.ranking(table, R.pagerank(table, R.edges(table)))
+    return R.ranking(table, R.pagerank(table))
+
+
+def _nine(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 QUERIES: dict[str, Query] = {
@@ -63,7 +67,12 @@ QUERIES: dict[str, Query] = {
     "vendor_type_scores": _model(lambda m: R.scored(R.metrics(m)).select("node", "score")),
     "similarity_edges": _model(lambda m: R.edges(R.scored(R.metrics(m)))),
     "pagerank": _model(lambda m: _ranked(m).select("node", "place", F.round("pagerank", 9).alias("pagerank"))),
-    "pagerank_tiers": _model(lambda m: R.tiers(_ranked(m))),
+    "pagerank_tiers": _model(lambda m: R.tiers(_ranked(m)).select("tier", "nodes", F.round("mean", 9).alias("mean"))),
+    "pagerank_top": _model(lambda m: _ranked(m).where("place <= 10").select("node", "vendor_name", "item_type", "place", F.round("pagerank", 9).alias("pagerank"), F.round("score", 9).alias("score"))),
+    "pagerank_summary": _model(lambda m: _nine(R.rank_summary(_ranked(m)))),
+    "pagerank_means": _model(lambda m: _nine(R.rank_means(_ranked(m)))),
+    "pagerank_heatmap": _model(lambda m: _nine(R.rank_heatmap(_ranked(m)))),
+    "graph_stats": _model(lambda m: R.graph_stats(R.scored(R.metrics(m)))),
     "customer_features": _model(S.customer_features),
     "inventory_features": _model(S.inventory_features),
     "order_features": _model(S.order_features),
@@ -122,6 +131,15 @@ _SCORE = f"""{_metrics_sql(False)}, sc AS (SELECT node, vendor_id, item_type, ro
     + .05 * total_purchases / (SELECT max(total_purchases) FROM m), 9) AS score FROM m)"""
 _EDGES = f"""{_SCORE}, e0 AS (SELECT a.node AS src, b.node AS dst, CASE WHEN a.vendor_id = b.vendor_id THEN .4 ELSE 0 END + CASE WHEN a.item_type = b.item_type THEN .4 ELSE 0 END
     + CASE WHEN abs(a.score - b.score) < .2 THEN .2 ELSE 0 END AS w FROM sc a JOIN sc b ON a.node <> b.node)"""
+_ROUNDS = 24
+_RANKS = f"""{_EDGES}, ed AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS weight FROM e0 WHERE w > 0), nn AS (SELECT count(*) AS n FROM sc),
+    v0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS r FROM sc, nn),
+    """ + ",\n    ".join(
+    f"v{k} AS MATERIALIZED (SELECT node, .85 * coalesce(g, 0) + .15 / n AS r FROM sc CROSS JOIN nn LEFT JOIN (SELECT dst, sum(weight * r) AS g FROM ed JOIN v{k - 1} ON node = src GROUP BY 1) ON dst = node)" for k in range(1, _ROUNDS)
+) + ", moves AS (" + " UNION ALL ".join(f"SELECT {k} AS k, (SELECT sum(abs(a.r - b.r)) FROM v{k} a JOIN v{k - 1} b USING (node)) AS d" for k in range(1, _ROUNDS)) + """),
+    done AS (SELECT min(k) - 1 AS k FROM moves WHERE d < 1e-6), every AS (""" + " UNION ALL ".join(f"SELECT {k} AS k, node, r FROM v{k}" for k in range(_ROUNDS)) + """),
+    pr0 AS (SELECT node, r / sum(r) OVER () AS pagerank FROM every JOIN done USING (k)),
+    pr AS (SELECT m.*, pagerank, score, row_number() OVER (ORDER BY round(pagerank, 12) DESC, m.node) AS place FROM pr0 JOIN m USING (node) JOIN (SELECT node, score FROM sc) USING (node))"""
 
 
 def _sql(ctes: str, text: str) -> str:
@@ -154,6 +172,16 @@ ORACLES: dict[str, str] = {
     "vendor_type_metrics_fanout": _sql(_metrics_sql(True), "SELECT * FROM m"),
     "vendor_type_scores": _sql(_SCORE, "SELECT node, score FROM sc"),
     "similarity_edges": _sql(_EDGES, "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 12) AS weight FROM e0 WHERE w > 0"),
+    "pagerank": _sql(_RANKS, "SELECT node, CAST(place AS INTEGER) AS place, round(pagerank, 9) AS pagerank FROM pr"),
+    "pagerank_tiers": _sql(_RANKS, """SELECT CASE WHEN place <= 5 THEN 'Top 5' WHEN place <= 10 THEN '6-10' WHEN place <= 20 THEN '11-20' WHEN place <= 50 THEN '21-50' ELSE 'Others' END AS tier,
+        count(*) AS nodes, round(avg(pagerank), 9) AS mean FROM pr GROUP BY 1"""),
+    "pagerank_top": _sql(_RANKS, "SELECT node, vendor_name, item_type, CAST(place AS INTEGER) AS place, round(pagerank, 9) AS pagerank, score FROM pr WHERE place <= 10"),
+    "pagerank_summary": _sql(_RANKS, "SELECT count(*) AS nodes, round(avg(pagerank), 9) AS mean, round(max(pagerank), 9) AS most, round(min(pagerank), 9) AS least, count(DISTINCT vendor_id) AS vendors, count(DISTINCT item_type) AS types FROM pr"),
+    "pagerank_means": _sql(_RANKS, "SELECT 'vendor' AS kind, vendor_name AS name, count(*) AS nodes, round(avg(pagerank), 9) AS mean FROM pr GROUP BY 2 UNION ALL SELECT 'type', item_type, count(*), round(avg(pagerank), 9) FROM pr GROUP BY 2"),
+    "pagerank_heatmap": _sql(_RANKS, """, tv AS (SELECT vendor_name FROM pr GROUP BY 1 ORDER BY round(sum(pagerank), 12) DESC, 1 LIMIT 5), tt AS (SELECT item_type FROM pr GROUP BY 1 ORDER BY round(sum(pagerank), 12) DESC, 1 LIMIT 7)
+        SELECT vendor_name, item_type, round(coalesce(avg(pagerank), 0), 9) AS mean FROM tv CROSS JOIN tt LEFT JOIN pr USING (vendor_name, item_type) GROUP BY 1, 2"""),
+    "graph_stats": _sql(_EDGES, """, t AS (SELECT w / sum(w) OVER (PARTITION BY src) AS x FROM e0 WHERE w > 0)
+        SELECT (SELECT count(*) FROM sc) AS node_count, 0.0::DOUBLE AS min_value, round(max(x), 9) AS max_value, round(sum(x) / (SELECT count(*) FROM sc) ** 2, 9) AS mean_value, round(count(*) / (SELECT count(*) FROM sc) ** 2, 9) AS density FROM t"""),
     "customer_features": f"""WITH {MODEL_SQL} SELECT customer_id, any_value(balance) AS balance, count(order_id) AS total_orders, round(avg(total_payment), 6) AS avg_order_value, round(sum(total_payment), 2) AS total_spent,
         max(date_of_order) AS last_order_date, count(DISTINCT CAST(date_of_order AS DATE)) AS active_days, any_value(country) AS country, any_value(region) AS region FROM sales_places GROUP BY 1""",
     "inventory_features": f"""WITH {MODEL_SQL}, p AS (SELECT item_id, count(DISTINCT CASE WHEN date_of_order >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY THEN order_id END) AS recent_orders, round(avg(quantity), 4) AS avg_quantity, sum(quantity) AS total_quantity

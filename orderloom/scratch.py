@@ -36,12 +36,12 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, sweep: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    It cuts lineage, survives lost executors and lets Spark drop the shuffle
-    files of everything before it.  The files go when they are freed, at the
-    latest when the JVM exits.
+    It cuts lineage, survives lost executors and, with ``sweep``, lets Spark drop
+    the shuffle files of everything before it at once.  The files go when they
+    are freed, at the latest when the JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orderloom/{uuid.uuid4().hex}"
@@ -50,8 +50,9 @@ def settle(df: DataFrame) -> DataFrame:
     place, system = _place(spark, path)
     system.deleteOnExit(place)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if sweep:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._settled_at = path
     return out

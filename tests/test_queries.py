@@ -32,7 +32,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_pagerank_sums_to_one(spark):
-    from orderloom.operators.ranking import pagerank
+    from orderloom.operators.ranking import pagerank_of_edges as pagerank
 
     nodes = spark.createDataFrame([(n,) for n in "abcd"], "node string")
     links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 0.5), ("b", "c", 0.5), ("c", "a", 1.0)], "src string, dst string, weight double")
@@ -53,3 +53,17 @@ def test_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(200)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pagerank_without_edges(spark):
+    """The sums by vendor, type and score band give what the edge table gives."""
+    from orderloom.operators import ranking as R
+    from orderloom.sources.tables import Model
+
+    table = R.scored(R.metrics(Model(spark, "/root/testdata/sf0.01"))).select("node", "vendor_id", "item_type", "score").cache()
+    got = dict(map(tuple, R.pagerank(table).collect()))
+    want = dict(map(tuple, R.pagerank_of_edges(table, R.edges(table)).collect()))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    one = table.limit(1)
+    assert [r["rank"] for r in R.pagerank(one).collect()] == [1.0] and R.pagerank(table.limit(0)).count() == 0
+    assert R.graph_stats(one).first()["density"] == 1.0
