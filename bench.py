@@ -10,7 +10,7 @@ from orderloom.session import build_session
 HEADLINE = [
     "orders_by_country", "top_selling_vendors_1", "top_vendors_in_top_countries", "cumulative_customers_monthly", "customer_segments", "vendor_profits_monthly",
     "item_types_by_region_each", "most_loyal_customers", "top_selling_vendors_3", "vendor_monthly_profits", "top_vendors_top_items", "underperforming_items",
-    "itemsets_item_types", "rules_vendors", "lsh_candidates", "vendor_type_metrics", "pagerank", "customer_clusters", "events_hourly", "event_sessions",
+    "itemsets_item_types", "rules_vendors_fine", "lsh_candidates", "vendor_type_metrics", "pagerank", "customer_clusters", "events_hourly", "event_sessions",
 ]
 
 

@@ -27,28 +27,41 @@ def baskets(m: Model, item: str = "item_type", share_of_mean: float = 0.2, popul
     return rows.join(wide, "order_id", "left_semi")
 
 
+def sample_baskets(rows: DataFrame, most: int = 100_000, seed: int = 42) -> tuple[DataFrame, float]:
+    """About ``most`` of the baskets (all, if there are fewer) without replacement, by a hash of the order, and the share taken."""
+    total = rows.select("order_id").distinct().count()
+    share = min(1.0, most / max(1, total))
+    return rows.where(F.pmod(F.xxhash64("order_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000), share
+
+
 class Itemsets:
     """Counts of frequent 1-, 2- and 3-itemsets of a basket table.
 
+    ``sampled``: the table is a sample of that many baskets' worth; thresholds
+    are those of the whole times the share that is there.
+
     ``buckets`` counts hashed pairs first and prunes pairs in rare buckets; it
     can't change the result, and as a shuffle already combines equal pairs
     map-side it is off by default.
     """
 
-    def __init__(self, rows: DataFrame, min_support: float, buckets: int | None = None):
+    def __init__(self, rows: DataFrame, min_support: float, buckets: int | None = None, sampled: int | None = None):
         rows = settle(rows.select("order_id", "item"))
         self.total = rows.select("order_id").distinct().count()
-        self.least = max(1, math.floor(self.total * min_support))
+        whole = sampled or self.total
+        self.least = max(1, math.floor(whole * min_support) * (self.total / max(1, whole)))
         often = F.col("n") >= self.least
-        self.singles = rows.groupBy("item").agg(F.count("*").alias("n")).where(often)
-        kept = rows.join(self.singles, "item", "left_semi")
+        counts = settle(rows.groupBy("item").agg(F.count("*").alias("n")))
+        self.items, self.singles = counts, counts.where(often)
+        kept = settle(rows.join(self.singles, "item", "left_semi"))
         pairs = kept.withColumnRenamed("item", "a").join(kept.withColumnRenamed("item", "b"), "order_id").where("a < b")
         counted = pairs
         if buckets:
             bucket = F.pmod(F.xxhash64("a", "b"), F.lit(buckets))
             full = pairs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(often).select("bucket")
             counted = pairs.withColumn("bucket", bucket).join(full, "bucket", "left_semi")
-        self.pairs = settle(counted.groupBy("a", "b").agg(F.count("*").alias("n")).where(often))
+        self.candidates = settle(counted.groupBy("a", "b").agg(F.count("*").alias("n")))
+        self.pairs = self.candidates.where(often)
         # A candidate is the union of two frequent pairs that share one member.
         ends = self.pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(self.pairs.select("b", "a"))
         three = F.array_sort(F.array("x", "y", "z"))
@@ -56,7 +69,16 @@ class Itemsets:
             ends.join(ends.select("x", F.col("y").alias("z")), "x").where("y < z").select(three.alias("t")).select(*(F.col("t")[i].alias(c) for i, c in enumerate("abc"))).distinct()
         )
         triples = pairs.join(self.pairs, ["a", "b"], "left_semi").join(kept.withColumnRenamed("item", "c"), "order_id").where("b < c")
-        self.triples = triples.join(candidates, ["a", "b", "c"], "left_semi").groupBy("a", "b", "c").agg(F.count("*").alias("n")).where(often)
+        self.triples = settle(triples.join(candidates, ["a", "b", "c"], "left_semi").groupBy("a", "b", "c").agg(F.count("*").alias("n")).where(often))
+
+    def progression(self) -> DataFrame:
+        """(stage, n): how many items, frequent ones, counted pairs, and frequent pairs and triples there are."""
+        stages = (("items", self.items), ("frequent items", self.singles), ("candidate pairs", self.candidates), ("frequent pairs", self.pairs), ("frequent triples", self.triples))
+        out = None
+        for name, df in stages:
+            own = df.agg(F.lit(name).alias("stage"), F.count("*").alias("n"))
+            out = own if out is None else out.union(own)
+        return out
 
     def table(self) -> DataFrame:
         """(size, itemset, n, support)."""
@@ -68,30 +90,32 @@ class Itemsets:
         return out
 
     def rules(self, min_confidence: float, lift: str = "true") -> DataFrame:
-        """(antecedent, consequent, n, confidence, lift) of all splits of frequent 2- and 3-itemsets.
+        """(antecedent, consequent, n, support, antecedent_support, consequent_support, confidence, lift) of all splits of frequent 2- and 3-itemsets.
 
         ``lift``: "true" divides by the consequent's support; "single" does so
         for one-item consequents and gives 1 otherwise.
         """
-        sets = self.singles.select(F.col("item").alias("name"), "n").union(self.pairs.select(F.concat_ws(" + ", "a", "b"), "n"))
-        split = lambda *cols: F.concat_ws(" + ", *cols)
         made = None
         for df, ways in ((self.pairs, [("a", "b")]), (self.triples, [("a", "bc"), ("b", "ac"), ("c", "ab")])):
             for one, rest in ways:
                 for left, right in ((one, rest), (rest, one)):
-                    own = df.select(split(*left).alias("antecedent"), split(*right).alias("consequent"), F.lit(len(right)).alias("width"), "n")
+                    own = df.select(F.array(*left).alias("x"), F.array(*right).alias("y"), "n")
                     made = own if made is None else made.union(own)
-        known = settle(sets)
+        known = settle(self.singles.select(F.array("item").alias("set"), "n").union(self.pairs.select(F.array("a", "b"), "n")))
         out = (
-            made.join(known.select(F.col("name").alias("antecedent"), F.col("n").alias("na")), "antecedent")
-            .join(known.select(F.col("name").alias("consequent"), F.col("n").alias("nc")), "consequent")
-            .withColumn("confidence", F.col("n") / F.col("na"))
+            made.join(known.select(F.col("set").alias("x"), F.col("n").alias("nx")), "x")
+            .join(known.select(F.col("set").alias("y"), F.col("n").alias("ny")), "y")
+            .withColumn("confidence", F.col("n") / F.col("nx"))
             .where(F.col("confidence") >= min_confidence)
         )
-        value = F.col("confidence") / (F.col("nc") / self.total)
+        value = F.col("confidence") / (F.col("ny") / self.total)
         if lift == "single":
-            value = F.when(F.col("width") == 1, value).otherwise(1.0)
-        return out.select("antecedent", "consequent", "n", F.round("confidence", 9).alias("confidence"), F.round(value, 9).alias("lift"))
+            value = F.when(F.size("y") == 1, value).otherwise(1.0)
+        share = lambda c: F.round(F.col(c) / self.total, 9)
+        return out.select(
+            F.concat_ws(" + ", "x").alias("antecedent"), F.concat_ws(" + ", "y").alias("consequent"), "n", share("n").alias("support"), share("nx").alias("antecedent_support"), share("ny").alias("consequent_support"),
+            F.round("confidence", 9).alias("confidence"), F.round(value, 9).alias("lift"),
+        )
 
     def cooccurrence(self) -> DataFrame:
         """(a, b, rate) of ordered pairs of frequent items, as a share of all baskets."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import settle
 from ..sources.tables import AS_OF, Model
 
 CUSTOMER = ("balance", "total_orders", "avg_order_value", "total_spent", "active_days")
@@ -34,27 +35,29 @@ def order_features(m: Model, as_of: str = AS_OF) -> DataFrame:
     return m.orders().join(m.customers(), "customer_id").join(per, "order_id", "left").select("order_id", "status", "total_payment", "balance", F.round(days, 6).alias("days_since"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "avg_item_price")
 
 
-def segment(df: DataFrame, features: tuple[str, ...], k: int = 5, seed: int = 42, rounds: int = 20) -> tuple[DataFrame, float]:
-    """(df with cluster, silhouette): nulls as 0, standardised, k-means.  Needs two features that df has."""
+def segment(df: DataFrame, features: tuple[str, ...], k: int = 5, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """``df`` with its cluster and the standardised ``features`` vector: nulls as 0, k-means.  Needs two features that df has."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     used = [f for f in features if f in df.columns]
     if len(used) < 2:
         raise ValueError("two features at least are needed")
+    df = settle(df)  # scaling, every round of k-means and the score read it
     ready = VectorAssembler(inputCols=used, outputCol="raw_vector").transform(df.na.fill(0, used))
     scaled = StandardScaler(inputCol="raw_vector", outputCol="features", withMean=True, withStd=True).fit(ready).transform(ready)
-    told = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled)
-    score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(told) if told.select("cluster").distinct().count() > 1 else 0.0
-    return told.drop("raw_vector", "features"), score
+    return KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled).drop("raw_vector")
+
+
+def silhouette(told: DataFrame) -> float:
+    """Mean silhouette of a segmented table; 0 with one cluster."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    many = told.agg(F.min("cluster") < F.max("cluster")).first()[0]
+    return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(told) if many else 0.0
 
 
 def cluster_summary(told: DataFrame, features: tuple[str, ...]) -> DataFrame:
     stats = [f(c).alias(f"{c}_{n}") for c in features for n, f in (("mean", lambda c: F.round(F.avg(c), 3)), ("std", lambda c: F.round(F.stddev_samp(c), 3)))]
     return told.groupBy("cluster").agg(F.count("*").alias("size"), *stats)
 
-
-def suite_score(silhouette: float) -> tuple[float, str]:
-    """(score up to 100, verdict) of a model by its silhouette."""
-    return min(100.0, silhouette / 0.5 * 100), "good" if silhouette > 0.3 else "needs work"

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.bases import BASES
-from ..sources.tables import MODEL_SQL, Model
+from ..sources.tables import AS_OF, MODEL_SQL, Model
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ REPORTS: dict[str, Report] = {
     "customers_per_region_2": Report("sales_places", ("country",), (_customers,)),
     "customer_activity": Report(
         "customer_sales", ("customer_id",), (Measure("last_order", "max", "date_of_order"),),
-        buckets=("activity", "customer_count", (("last_order >= TIMESTAMP '2001-05-01'", "Active"), ("last_order >= TIMESTAMP '2000-08-01'", "Less Active")), "Inactive"),
+        buckets=("activity", "customer_count", ((f"last_order >= TIMESTAMP '{AS_OF}' - INTERVAL '3' MONTH", "Active"), (f"last_order >= TIMESTAMP '{AS_OF}' - INTERVAL '12' MONTH", "Less Active")), "Inactive"),
     ),
     "vendor_profits_monthly": Report("all_lines", (*_vendor, "month"), (_revenue,), top=(("-revenue",), 10)),
     "top_items_for_top_vendors": Report("all_lines", (*_vendor, "item_id", "item_name"), (_sold,), among=_top_vendors, top=(("-total_quantity",), 30)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -25,9 +25,25 @@ def write_itemset_report(table: DataFrame, path: str) -> None:
     table.orderBy("size", F.desc("support"), "itemset").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_rules_report(rules: DataFrame, path: str) -> None:
+    """A numbered block of lines a rule, by falling confidence and support; one file, as rules are few."""
+    named = [("Support", "support"), ("Confidence", "confidence"), ("Lift", "lift"), ("Antecedent Support", "antecedent_support"), ("Consequent Support", "consequent_support")]
+    order = [F.desc("confidence"), F.desc("support"), "antecedent", "consequent"]
+    number = F.row_number().over(Window.orderBy(*order))
+    head = F.format_string("%d. %s \u2192 %s", "number", "antecedent", "consequent")
+    block = F.concat_ws("\n", head, *(F.format_string(f"   {label}: %.4f", column) for label, column in named), F.lit(""))
+    rules.withColumn("number", number).orderBy("number").select(block.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_document(df: DataFrame, path: str, rows: int = 1000) -> None:
-    """One JSON array of a small aggregate, at most ``rows`` rows."""
-    df.limit(rows).select(F.to_json(F.struct("*")).alias("j")).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    """One JSON array of a small aggregate; more than ``rows`` rows are refused, as they would meet in one task."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a document holds {rows} rows; write JSON lines instead")
+    df.select(F.to_json(F.struct("*")).alias("j")).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_console(df: DataFrame, rows: int = 20) -> None:
+    df.show(rows, truncate=False)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,10 +55,17 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return spark.read.option("header", True).csv(path, schema=schema, inferSchema=schema is None)
 
 
+def _state(spark: SparkSession, file: str) -> str:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    return f"{file}:{status.getLen()}:{status.getModificationTime()}"
+
+
 def cached(df: DataFrame, folder: str) -> DataFrame:
-    """``df`` as stored under ``folder`` by its plan and input files, which it is written to at first."""
+    """``df`` as stored under ``folder`` by its plan and its input files (name, length, time), which it is written to at first."""
     spark = df.sparkSession
-    mark = hashlib.sha256((df._jdf.queryExecution().analyzed().canonicalized().toString() + "".join(sorted(df.inputFiles()))).encode()).hexdigest()
+    files = "".join(_state(spark, f) for f in sorted(df.inputFiles()))
+    mark = hashlib.sha256((df._jdf.queryExecution().analyzed().canonicalized().toString() + files).encode()).hexdigest()
     path = f"{folder.rstrip('/')}/{mark}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):

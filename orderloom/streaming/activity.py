@@ -67,25 +67,119 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def window_sample(df: DataFrame, length: str = "1 hour", size: int = 50_000) -> DataFrame:
     """At most ``size`` events of each window, the smallest by a hash of the id, so the same at every run.
 
-    A hash threshold from the window's count keeps the sort small; it is widened
-    so that, but for a chance below 1e-9, it never cuts the sample short.
+    The rank limit is applied before the shuffle too (a window group limit), so a
+    crowded window sends ``size`` rows of each task at most.
     """
     from pyspark.sql import Window
 
-    w = df.withColumn("start", F.window("ts", length)["start"]).withColumn("h", F.pmod(F.xxhash64("event_id"), F.lit(1 << 40)))
-    counts = w.groupBy("start").agg(F.count("*").alias("of"))
-    limit = (F.lit(size) + 8 * F.sqrt(F.lit(size)) + 64) / F.col("of") * (1 << 40)
+    spread = F.pmod(F.col("event_id") % (1 << 31) * 2654435761, F.lit(1 << 32))  # a multiplicative hash
     rank = F.row_number().over(Window.partitionBy("start").orderBy("h", "event_id"))
-    return w.join(counts, "start").where(F.col("h") <= limit).withColumn("rnk", rank).where(F.col("rnk") <= size).drop("h", "of", "rnk")
+    w = df.withColumn("start", F.window("ts", length)["start"]).withColumn("h", spread)
+    return w.withColumn("rnk", rank).where(F.col("rnk") <= size).drop("h", "rnk")
 
 
 def alerts(df: DataFrame, kind: str = "error", over: int = 1000, length: str = "1 day") -> DataFrame:
-    """(start, n) where a kind's count passes ``over`` after a window that didn't: one alert until it falls back."""
+    """(start, n) of windows where a kind's count passes ``over`` while armed.
+
+    An alert disarms; a window below ``over`` arms again, and so does one without
+    any event of the kind, which is no row here but a gap between rows.
+    """
     from pyspark.sql import Window
 
-    counts = df.where(F.col("event_type") == kind).groupBy(F.window("ts", length)["start"].alias("start")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.lag("n").over(Window.orderBy("start")), F.lit(0))  # one row a window
-    return counts.withColumn("was", before).where((F.col("n") > over) & (F.col("was") <= over)).select("start", "n")
+    counts = df.where(F.col("event_type") == kind).groupBy(F.window("ts", length).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("finish"), "n")
+    order = Window.orderBy("start")  # one row a window
+    gap = F.coalesce(F.lag("finish").over(order) < F.col("start"), F.lit(True))
+    runs = counts.withColumn("run", F.sum(gap.cast("long")).over(order))
+    was = F.last(F.when(F.col("n") != over, F.col("n")), ignorenulls=True).over(Window.partitionBy("run").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("was", F.coalesce(was, F.lit(0))).where((F.col("n") > over) & (F.col("was") < over)).select("start", "n")
+
+
+def alert_stream(df: DataFrame, over: int = 1000, length: str = "1 day") -> DataFrame:
+    """(event_type, start, at, n) of a stream, in append mode: an alert as soon as a kind's count in its window passes ``over`` while armed.
+
+    The state of a kind is its window, the count there, and whether it is armed,
+    by the rules of ``alerts``.  Events of a window before the present one come too
+    late to count.  Write it with ``run`` to keep an alerts table.
+    """
+    span = int(df.sparkSession.sql(f"SELECT unix_seconds(timestamp_seconds(0) + interval {length})").first()[0])
+    rows = df.select("event_type", F.unix_micros("ts").alias("us"), "event_id")
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        window, n, armed = state.get if state.exists else (-1, 0, True)
+        out = []
+        events = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        for at in events["us"]:
+            own = at // (span * 1_000_000)
+            if own < window:
+                continue
+            if own > window:
+                armed = armed or n < over or own > window + 1
+                window, n = own, 0
+            n += 1
+            if n > over and armed:
+                out.append((key[0], window * span * 1_000_000, at, n))
+                armed = False
+        state.update((int(window), int(n), bool(armed)))
+        yield pd.DataFrame(out, columns=["event_type", "start", "at", "n"])
+
+    found = rows.groupBy("event_type").applyInPandasWithState(update, "event_type string, start long, at long, n long", "window long, n long, armed boolean", "append", "NoTimeout")
+    return found.select("event_type", F.timestamp_micros("start").alias("start"), F.timestamp_micros("at").alias("at"), "n")
+
+
+BLOOM_BITS, BLOOM_HASHES = 95_850, 6  # for 10,000 keys at one false hit in 100
+CELLS, CELL_HASHES = 1_000, 3
+
+
+def _digest(key: Column, seed: int | Column, most: int) -> Column:
+    """A number below ``most`` from the first 60 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("_"), F.lit(seed).cast("string"))), 1, 15), 16, 10).cast("long") % most
+
+
+def bloom_filter(keys: DataFrame, key: str = "item", bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """(bit): the set bits of a Bloom filter, ``bits`` rows at most."""
+    return keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*(_digest(F.col(key), i, bits) for i in range(hashes)))).alias("bit")).distinct()
+
+
+def bloom_hits(df: DataFrame, bloom: DataFrame, key: str = "item", bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, and a few others."""
+    asked = df.where(F.col(key).isNotNull()).select(key).distinct()
+    known = asked.select(key, F.explode(F.array_distinct(F.array(*(_digest(F.col(key), i, bits) for i in range(hashes))))).alias("bit"))
+    missed = known.join(F.broadcast(bloom), "bit", "left_anti").select(key).distinct()  # `bits` rows at most
+    return df.where(F.col(key).isNotNull()).join(missed, key, "left_anti")
+
+
+def invertible_table(keys: DataFrame, key: str, cells: int = CELLS, hashes: int = CELL_HASHES) -> DataFrame:
+    """(cell, n, keys, checks): an invertible Bloom lookup table of integer keys, ``cells`` rows at most; each key has a cell in each of ``hashes`` stripes."""
+    stripe = cells // hashes
+    own = keys.select(F.col(key).cast("long").alias("k")).where("k is not null")
+    at = F.explode(F.array(*(_digest(F.col("k"), i, stripe) + i * stripe for i in range(hashes))))
+    return own.select(at.alias("cell"), "k", _digest(F.col("k"), "check", 1 << 60).alias("c")).groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor("k").alias("keys"), F.bit_xor("c").alias("checks"))
+
+
+def decode_difference(left: DataFrame, right: DataFrame, cells: int = CELLS, hashes: int = CELL_HASHES) -> tuple[set[int], set[int], bool]:
+    """Keys that only the left table has, only the right one, and whether that is all; both tables are collected, ``cells`` rows each."""
+    import hashlib
+
+    digest = lambda k, seed, most: int(hashlib.md5(f"{k}_{seed}".encode()).hexdigest()[:15], 16) % most
+    stripe = cells // hashes
+    table = {c: [0, 0, 0] for c in range(cells)}
+    for sign, df in ((1, left), (-1, right)):
+        for r in df.collect():
+            t = table[r["cell"]]
+            t[0], t[1], t[2] = t[0] + sign * r["n"], t[1] ^ r["keys"], t[2] ^ r["checks"]
+    only: dict[int, set[int]] = {1: set(), -1: set()}
+    todo = list(table)
+    while todo:
+        n, key, check = table[todo.pop()]
+        if abs(n) != 1 or digest(key, "check", 1 << 60) != check:
+            continue
+        only[n].add(key)
+        for i in range(hashes):
+            cell = digest(key, i, stripe) + i * stripe
+            t = table[cell]
+            t[0], t[1], t[2] = t[0] - n, t[1] ^ key, t[2] ^ check
+            todo.append(cell)
+    return only[1], only[-1], not any(any(t) for t in table.values())
 
 
 class Dgim:
@@ -140,13 +234,14 @@ def run(df: DataFrame, path: str, checkpoint: str, mode: str = "append", each: C
 
 def segment_batches(df: DataFrame, features: tuple[str, ...], path: str, checkpoint: str, k: int = 5):
     """k-means of every micro-batch, refit each time; batches below two rows are left out."""
-    from ..operators.segmentation import segment
+    from ..operators.segmentation import segment, silhouette
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         if batch.count() > 1:
-            told, score = segment(batch, features, k)
-            told.withColumn("batch", F.lit(number)).withColumn("silhouette", F.lit(score)).write.mode("append").parquet(path)
+            told = segment(batch, features, k)
+            score = silhouette(told)
+            told.drop("features").withColumn("batch", F.lit(number)).withColumn("silhouette", F.lit(score)).write.mode("append").parquet(path)
         batch.unpersist()
 
     return run(df, path, checkpoint, each=each)
