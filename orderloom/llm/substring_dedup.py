@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import free, settle
-from .packed import FLUSH, PACKED, Kind, coarse_of, deal, exchange, flush_ids, grouped, pack_many, pack_sorted, unpack_many, unpack_sorted
+from .packed import FLUSH, FLUSHES_PER_PART, PACKED, Kind, coarse_of, deal, exchange, flush_ids, grouped, pack_many, pack_sorted, unpack_many, unpack_sorted
 from .words import SPACED, U64, Tokens, mix, ranges, second_hashes, sequences, slices, tokenize, utf8
 
 SIGN = U64(1 << 63)  # makes the order of signed ids that of unsigned ones
@@ -92,9 +92,9 @@ class _Flush:
         take = order[first]
         low = hashes[take] & U64((1 << 40) - 1) if anchors else hashes[take]
         rows = deal(coarse_of(hashes[take]), flush, low, check[take] if check is not None else None, at[take], merged)
-        rows.append((-1 - flush, flush, b"", b"", b"", b"", own))
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "flush", "low", "check", "offsets", "value", "own"])
+        rows.append((-1 - flush, flush, None, own))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "flush", "data", "own"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], Tokens, pa.RecordBatch, np.ndarray]]:
@@ -178,9 +178,9 @@ def _back(frame: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _told(sent: DataFrame, kind: Kind, flushes_per_part: int) -> DataFrame:
+def _told(sent: DataFrame, kind: Kind, parts: int) -> DataFrame:
     """(doc_id, text_key, places) of the told entries."""
-    answered = exchange(sent, kind, flushes_per_part)
+    answered = exchange(sent, kind, parts)
     found = settle(answered.groupBy("flush").applyInPandas(_back, "doc_id long, text_key long, places binary"))
     free(answered)
     return found
@@ -224,7 +224,7 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, flushes_per_part: int = 1024, hash_bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, parts: int | None = None, hash_bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text, extra) of every row.
 
     A word goes if a window of ``window`` words that covers it also
@@ -235,7 +235,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as larger than all others (as large as 2**63 - 1).  Rows with the same id
     don't remove each other's words; repeated rows are treated alike.  An empty
     table gives an empty result.  ``hash_bits``: how much of the first hash the
-    exchange goes by; fewer are slower, not less exact.
+    exchange goes by; fewer are slower, not less exact.  ``parts``: of the exchange,
+    by default as many as the input's size asks for.
     """
     if window < 1:
         raise ValueError("a window has one word at least")
@@ -246,10 +247,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.coalesce(own, F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), extra.alias("extra"), own.alias("own"))
     lean = base.select("doc_id", "text_key", "text")
     once = lambda df: df.dropDuplicates(["doc_id", "text_key"]).hint("merge")
+    if parts is None:
+        size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(1, -(-size // (6 * FLUSH * FLUSHES_PER_PART)))  # about 6 bytes a word
     # The hits grow with the corpus, so they are joined by exchange at every size.
-    hits = _told(lean.mapInArrow(_probe(block, hash_bits), PACKED), ANCHORS, flushes_per_part)
+    hits = _told(lean.mapInArrow(_probe(block, hash_bits), PACKED), ANCHORS, parts)
     around = lean.join(once(hits), ["doc_id", "text_key"]).mapInArrow(_windows(window, block, hash_bits), PACKED)
-    found = _told(around, WINDOWS, flushes_per_part)
+    found = _told(around, WINDOWS, parts)
     free(hits)
     kind = base.schema["extra"].dataType.simpleString()
     joined = base.join(once(found), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "places", "extra", "own")

@@ -450,7 +450,7 @@ def _cut_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window, how", [(50, {}), (6, {}), (51, {"flushes_per_part": 1}), (1, {}), (7, {"hash_bits": 4, "flushes_per_part": 2})])
+@pytest.mark.parametrize("window, how", [(50, {}), (6, {}), (51, {"parts": 3}), (1, {}), (7, {"hash_bits": 4, "parts": 2})])
 def test_repeats(docs, corpus, empty, window, how):
     """With ``hash_bits`` nearly all windows meet under one hash, and the second one tells them apart."""
     got = substring_dedup.remove_repeats(docs, window=window, **how).collect()
@@ -464,7 +464,7 @@ def test_repeats_of_odd_tables(spark):
     line = " ".join(f"w{j}" for j in range(60))
     rows = [(i, f"a{i} {line} b{i}") for i in range(400)] + [(-5, line), (2**63 - 1, line), (None, line), (3, f"a3 {line} b3"), (700, " ".join(rng.choice("xyz") for _ in range(30_000)))]
     rows.append((701, " ".join([*(f"w{j}" for j in range(25)), "other", *(f"w{j}" for j in range(26, 51))])))
-    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), flushes_per_part=2).collect()
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), parts=4).collect()
     assert sorted((repr(r[0]), r[1], r[2]) for r in got) == sorted((repr(i), n, k) for (i, _), (_, n, k, _) in zip(rows, [(2**63 - 1 if x[0] == 2**63 else x[0], *x[1:]) for x in _cut_repeats([(2**63 - 1 if i is None else i, t) for i, t in rows], 50)], strict=True))
     with pytest.raises(ValueError):
         substring_dedup.remove_repeats(spark.createDataFrame(rows[:1], "doc_id long, text string"), window=0)
