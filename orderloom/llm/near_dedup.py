@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, coordinate
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, text_key); id and text hash together name a row, also where the id is null."""
+    """(doc_id, text, text_key); the text's hash names a text where the id is null."""
     text = F.col(f"`{text_col}`").cast("string")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
@@ -171,7 +171,7 @@ def near_duplicates(
     rows = rows or rows_for(percent, coordinates)
     prints = settle(fingerprints(docs, id_col, text_col, shingle_words, coordinates, rows))
     classes = settle(
-        prints.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("named"), F.min("text_key").alias("least"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        prints.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
     )
     posts = classes.select("cls", "n", F.explode(F.slice("keys", 1, coordinates - matches + 1)).alias("key"))
     # A list's leader is the class with the smallest id: copies tend to come after what they were copied from.
@@ -248,9 +248,9 @@ def near_duplicates(
 
 def _sets_of(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(cls, members) of the classes asked for; one text is read of each."""
-    ids = settle(classes.join(asked, "cls", "left_semi").select(F.col("rep").alias("doc_id"), F.coalesce("named", "least").alias("text_key")).distinct())
+    ids = settle(classes.join(asked, "cls", "left_semi").select(F.col("rep").alias("doc_id"), F.when(F.col("rep").isNull(), F.col("text_key")).alias("text_key")).distinct())
     rows = _rows(docs, id_col, text_col)
-    named = rows.join(ids.where("doc_id is not null"), ["doc_id", "text_key"], "left_semi")
+    named = rows.join(ids.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
     bare = rows.where("doc_id is null").join(ids.where("doc_id is null"), "text_key", "left_semi").dropDuplicates(["text_key"])
     return full_sets(named.select("doc_id", "text").union(bare.select("doc_id", "text")), n).dropDuplicates(["cls"])
 

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..scratch import free, settle
 from .words import U64
 
-FLUSH = 500_000  # words
+FLUSH = 250_000  # words
 COARSE = 384  # buckets; a flush's row has about FLUSH / COARSE entries
-FLUSHES_PER_PART = 1024
+FLUSHES_PER_PART = 2048
 #: own: what the flush keeps for its return, in the row of bucket -1 - flush.
 PACKED = "bucket long, flush long, data binary, own binary"
 _COLUMNS = ["bucket", "flush", "data", "own"]

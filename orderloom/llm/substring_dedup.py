@@ -76,20 +76,23 @@ class _Flush:
         anchors = kind is ANCHORS
         key = coarse_of(hashes) << U64(40) | hashes & U64((1 << 40) - 1) if anchors else hashes  # ascending within and over buckets
         order, first = grouped(key, check)
+        del key
         sizes = np.diff(first, append=len(order))
-        group = np.repeat(np.arange(len(first)), sizes)
         merged = kind.merge(value[order], first, sizes) if len(order) else value
-        if not anchors and (sizes > 1).any():  # an occurrence with the smallest value first
-            order = order[np.lexsort((at[order], value[order], group))]
-        lead = np.zeros(len(order), bool)
-        lead[first] = True
-        told = np.zeros(len(order), bool) if anchors else value[order] > merged[group]
+        many = np.flatnonzero(sizes > 1)
+        same = ranges(first[many], sizes[many])  # places in order of entries whose hash occurs again
+        group = np.repeat(many, sizes[many])
+        if not anchors and len(same):  # an occurrence with the smallest value first
+            order[same] = order[same][np.lexsort((value[order[same]], group))]
+        lead = np.zeros(len(same), bool)
+        lead[np.cumsum(sizes[many]) - sizes[many]] = True
+        told = np.zeros(len(same), bool) if anchors else value[order[same]] > merged[group]
         others = ~lead & ~told
+        take = order[first]
         own = pack_many(
             np.array(self.ids, np.int64).view(U64), np.array(self.keys, np.int64).view(U64), np.array(self.starts, U64),
-            at[order[others]], at[order[first]][group[others]], at[order[told]],
+            at[order[same[others]]], at[take][group[others]], at[order[same[told]]],
         )
-        take = order[first]
         low = hashes[take] & U64((1 << 40) - 1) if anchors else hashes[take]
         rows = deal(coarse_of(hashes[take]), flush, low, check[take] if check is not None else None, at[take], merged)
         rows.append((-1 - flush, flush, None, own))
@@ -101,7 +104,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
     """(ids, text hashes, words, rows, bytes) of slices of (doc_id, text_key, text, ...) batches."""
     for batch in batches:
         data, at = utf8(batch.column(2))
-        for lo, hi in slices(at):
+        for lo, hi in slices(at, 1 << 18):
             part, own = batch.slice(lo, hi - lo), data[at[lo] : at[hi]]
             yield part.column(0).to_pylist(), part.column(1).to_pylist(), tokenize(own, at[lo : hi + 1] - at[lo], SPACED), part, own
 
