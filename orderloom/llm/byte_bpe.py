@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from .words import slices, utf8
+from .words import sized, slices, utf8
 
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHERS = [b for b in range(256) if b not in set(_PLAIN)]
@@ -166,6 +166,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                     names=["doc_id", "n_tokens", "ids", "ids_le", "decoded"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
+    return sized(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>, ids_le binary, decoded binary"
     )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import settle
 from .packed import flush_ids, pack, pack_sorted, unpack, unpack_sorted
-from .words import ALNUM_FOLDED, U64, ranges, slices, tokenize, utf8
+from .words import ALNUM_FOLDED, U64, ranges, sized, slices, tokenize, utf8
 
 #: Words of a shard, if no document has more; a task holds one shard at a time.
 SHARD_WORDS = 1 << 18
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield shard(next(numbers), ids, starts, hashes)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SHARD)
+    return sized(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SHARD)
 
 
 def _item_words(texts: list[str | None]) -> list[np.ndarray]:

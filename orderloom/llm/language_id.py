@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import settle
-from .words import U64, ranges, slices, utf8
+from .words import U64, ranges, sized, slices, utf8
 
 PAD = U64(1)
 #: More languages than that meet their rows by exchange.
@@ -140,7 +140,7 @@ def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str =
     are left out, and languages beyond the ``most_langs`` most frequent.  The
     texts are counted whole, on the executors; ``size`` grams a language come back.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)), lang_col).alias("h")).where("lang is not null")
+    rows = sized(labelled).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)), lang_col).alias("h")).where("lang is not null")
     rates = settle(rows.groupBy("lang").count())
     if rates.count() <= BROADCAST_LANGS:
         rates = F.broadcast(rates)
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded by the profiles' size
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_judged"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
+    rows = sized(docs).select(F.col(f"`{text_col}`").cast("string").alias("_judged"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..scratch import free, settle
-from .words import SPACED_FOLDED, U64, mix, slices, tokenize, utf8
+from .words import SPACED_FOLDED, U64, mix, sized, slices, tokenize, utf8
 
 _rng = np.random.default_rng(7)
 
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, coordinate
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, text_key); the text's hash names a text where the id is null."""
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return sized(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:

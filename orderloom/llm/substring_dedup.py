@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import free, settle
 from .packed import FLUSH, FLUSHES_PER_PART, PACKED, Kind, coarse_of, deal, exchange, flush_ids, grouped, pack_many, pack_sorted, unpack_many, unpack_sorted
-from .words import SPACED, U64, Tokens, mix, ranges, second_hashes, sequences, slices, tokenize, utf8
+from .words import SPACED, U64, Tokens, mix, ranges, second_hashes, sequences, sized, slices, tokenize, utf8
 
 SIGN = U64(1 << 63)  # makes the order of signed ids that of unsigned ones
 INDEXED, MANY = U64(1), U64(2)
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     extra = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))
     text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    base = docs.select(F.coalesce(own, F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), extra.alias("extra"), own.alias("own"))
+    base = sized(docs).select(F.coalesce(own, F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), extra.alias("extra"), own.alias("own"))
     lean = base.select("doc_id", "text_key", "text")
     once = lambda df: df.dropDuplicates(["doc_id", "text_key"]).hint("merge")
     if parts is None:

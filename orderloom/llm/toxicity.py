@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import settle
-from .words import SPACED, U64, mix, ranges, slices, span_hashes, tokenize, utf8
+from .words import SPACED, U64, mix, ranges, sized, slices, span_hashes, tokenize, utf8
 
 GAP, DECAY, FLOOR, POWERS = 1, 0.5, 0.45, (1, 2, 8)  # GAP: the symbol of what is no letter
 WIDE, STEP, SHORT = 24, 12, 2  # of a string's window, between windows, of a short word
@@ -349,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 bounds = np.arange(hi - lo + 1, dtype=np.int32) * f.shape[1]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds), pa.array(f.ravel()))], names=["y", "f"])
 
-    got = sample.select("y", "text").mapInArrow(measure, "y int, f array<double>").toArrow()  # 2 * docs_per_label rows at most
+    got = sized(sample).select("y", "text").mapInArrow(measure, "y int, f array<double>").toArrow()  # 2 * docs_per_label rows at most
     y = np.array(got.column("y").to_pylist())
     x = marks.nystroem(np.array(got.column("f").to_pylist()))
     order = np.lexsort((*x.T, y))
@@ -374,4 +374,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for lo, hi in slices(at, 1 << 20):
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.score(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
+    return sized(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")

@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 
@@ -166,6 +167,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+#: Of texts that go to a Python worker at once; Spark's own bound is 64 MB, held by the JVM and by the worker.
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs``; its session sends batches of about ``BATCH_BYTES`` from now on, unless it names a size itself."""
+    conf = docs.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def slices(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of whole rows of about ``most`` bytes; a longer row is alone."""
     lo, rows = 0, len(at) - 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.llm import byte_bpe, decontaminate, exact_topk, language_id, near_dedup, sharding, substring_dedup, toxicity, transcripts, url_filter
+from orderloom.llm import byte_bpe, decontaminate, exact_topk, language_id, near_dedup, sharding, substring_dedup, toxicity, transcripts, url_filter, words
 
 SCHEMA = "doc_id long, text string, lang string, score double, spans string"  # with clashing names
 
@@ -667,3 +667,25 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_of_long_texts(spark):
+    """Texts go to Python in batches of bounded bytes, in sessions that name no size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(key)
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text"))
+
+    def largest():
+        def run(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+        return words.sized(docs).mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+    try:
+        spark.conf.unset(key)
+        assert largest() < words.BATCH_BYTES + 1_000_000 and spark.conf.get(key) == str(words.BATCH_BYTES)
+        spark.conf.set(key, "9000000")
+        assert 6_000_000 < largest() < 10_000_000 and spark.conf.get(key) == "9000000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
