@@ -85,3 +85,29 @@ def test_unprocessed_and_heatmap(spark):
     assert sorted(r[0] for r in unprocessed(spark.range(5), spark.createDataFrame([(1,), (1,), (3,)], "id long"), "id").collect()) == [0, 2, 4]
     ranked = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.25), (2, "b", 1.0)], "vendor_id long, item_type string, pagerank double")
     assert sorted(map(tuple, heatmap(ranked, ["a", "b"]).collect())) == [(1, 0.375, 0.0), (2, 0.0, 1.0)]
+
+
+def test_edges_of_ties_and_repeats(spark, monkeypatch):
+    """As the SQL has them, over many cells, and no pair is shuffled or added up; scores tie at the width, nodes repeat or have no type."""
+    import duckdb
+
+    from orderloom.operators import ranking as R
+    from orderloom.plans import mining
+
+    rng = random.Random(3)
+    scores = [round(rng.choice((0.1, 0.05)) * rng.randint(-3, 12), 9) for _ in range(239)] + [None]
+    rows = [(f"{v}_{t}", v, t, scores[6 * v + k]) for v in range(40) for k, t in enumerate("abcdef")]
+    rows += rows[50:60] + rows[50:55] + [("7", 7, None, 0.3)]
+    monkeypatch.setattr(R, "CELL", 2000, raising=False)
+    monkeypatch.setattr(R, "ROWS", 60, raising=False)
+    df = R.edges(spark.createDataFrame(rows, "node string, vendor_id long, item_type string, score double"))
+    got = df.collect()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE sc (node VARCHAR, vendor_id BIGINT, item_type VARCHAR, score DOUBLE)")
+    con.executemany("INSERT INTO sc VALUES (?, ?, ?, ?)", [(n if t else None, v, t, s) for n, v, t, s in rows])
+    want = con.sql("WITH e0 AS" + mining._EDGES.split(", e0 AS")[1] + " SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 12) AS weight FROM e0 WHERE w > 0").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 20_000
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert R.edges(spark.createDataFrame([], df.sparkSession.createDataFrame(rows[:1], "node string, vendor_id long, item_type string, score double").schema)).count() == 0
+    one = R.edges(spark.createDataFrame(rows[:1] + [("99_z", 99, "z", 9.0)], "node string, vendor_id long, item_type string, score double"))
+    assert one.count() == 0
