@@ -26,7 +26,7 @@ _OTHERS = [b for b in range(256) if b not in set(_PLAIN)]
 CHARACTER = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 BYTE = {c: b for b, c in CHARACTER.items()}
 _TABLE = {b: ord(c) for b, c in CHARACTER.items()}
-KEEP = 400_000  # cached entries of a worker, of either kind
+KEEP = 100_000  # cached entries of a task, of either kind
 BPE, NORMAL, UNKNOWN = 2, 1, 2  # enum values of the model format
 
 
@@ -126,6 +126,10 @@ class ByteBPE:
         of = cache if len(short) == len(fresh) else cache | fresh
         return [np.frombuffer(b"".join(map(of.__getitem__, chunks)), "<u4") for chunks in cut]
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that is kept after its task shouldn't hold them through other stages."""
+        self.cache, self.words = {}, {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -135,20 +139,9 @@ def _coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_le, decoded) of every row; no shuffle.
-
-    ids: the encoding of the whole text, without special tokens; ids_le: the
-    same as little-endian 32-bit integers; decoded: the bytes that the ids
-    decode to, which are the text's.  A null text is an empty one (no ids).
-    ``vocabulary`` is a rank file that every machine has at that path, or the
-    name of a file that was given to ``SparkContext.addFile``.  Repeated rows
-    are encoded each; other columns are not read.
-    """
-    from os.path import exists
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(vocabulary if exists(vocabulary) else SparkFiles.get(vocabulary), pattern)
+def coded(coder: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids, ids_le, decoded) of (doc_id, text) batches."""
+    try:
         for batch in batches:
             texts = batch.column(1)
             _, at = utf8(texts)
@@ -165,6 +158,24 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                     ],
                     names=["doc_id", "n_tokens", "ids", "ids_le", "decoded"],
                 )
+    finally:
+        coder.forget()
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_le, decoded) of every row; no shuffle.
+
+    ids: the encoding of the whole text, without special tokens; ids_le: the
+    same as little-endian 32-bit integers; decoded: the bytes that the ids
+    decode to, which are the text's.  A null text is an empty one (no ids).
+    ``vocabulary`` is a rank file that every machine has at that path, or the
+    name of a file that was given to ``SparkContext.addFile``.  Repeated rows
+    are encoded each; other columns are not read.
+    """
+    from os.path import exists
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from coded(_coder(vocabulary if exists(vocabulary) else SparkFiles.get(vocabulary), pattern), batches)
 
     return sized(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>, ids_le binary, decoded binary"

@@ -23,6 +23,8 @@ from .words import U64, ranges, sized, slices, utf8
 PAD = U64(1)
 #: More languages than that meet their rows by exchange.
 BROADCAST_LANGS = 100_000
+#: Bytes of text whose grams are counted at once; grams take many times that in a worker.
+AT_ONCE = 1 << 17
 
 
 @lru_cache(1)
@@ -123,13 +125,15 @@ class Profiles(NamedTuple):
         return (held * self.size)[:, None] - np.bincount(doc[of] * k + self.lang[entry], saved, n * k).reshape(n, k), held
 
     def judge(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Nearest language of each document, and how near it is, 0 to 1."""
-        if not self.langs:
-            return ["und"] * (len(at) - 1), np.zeros(len(at) - 1)
-        distance, held = self.distances(data, at)
-        best = distance.argmin(1)
-        least = distance.min(1) / np.maximum(1, held * self.size)
-        return ["und" if not h else self.langs[b] for h, b in zip(held, best, strict=True)], np.where(held > 0, np.clip(1 - least, 0, 1), 0.0)
+        """Nearest language of each document, and how near it is, 0 to 1; memory follows ``AT_ONCE`` or the longest document."""
+        langs, score = ["und"] * (len(at) - 1), np.zeros(len(at) - 1)
+        for lo, hi in slices(at, AT_ONCE) if self.langs else ():
+            distance, held = self.distances(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            best = distance.argmin(1)
+            least = distance.min(1) / np.maximum(1, held * self.size)
+            langs[lo:hi] = ["und" if not h else self.langs[b] for h, b in zip(held, best, strict=True)]
+            score[lo:hi] = np.where(held > 0, np.clip(1 - least, 0, 1), 0.0)
+        return langs, score
 
 
 def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_lang: int = 500, size: int = 400, longest: int = 3) -> Profiles:
@@ -151,7 +155,7 @@ def learn_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str =
         for batch in batches:
             langs, index = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
             data, at = utf8(batch.column(1))
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, AT_ONCE):
                 doc, gram, n = grams(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], longest)
                 key = (index[lo:hi][doc].astype(U64) << U64(44)) | gram
                 own, back = np.unique(key, return_inverse=True)

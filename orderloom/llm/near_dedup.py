@@ -36,6 +36,8 @@ from ..scratch import free, settle
 from .words import SPACED_FOLDED, U64, mix, sized, slices, tokenize, utf8
 
 _rng = np.random.default_rng(7)
+#: Bytes of text whose shingles are held at once.
+AT_ONCE = 1 << 17
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, coordinate
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, AT_ONCE):
                 sets, bounds = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], n)
                 sig = signatures(sets, bounds, coordinates, rows).astype(np.int64)
                 yield pa.record_batch(
@@ -122,7 +124,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            for lo, hi in slices(at):
+            for lo, hi in slices(at, AT_ONCE):
                 sets, bounds = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], n)
                 yield pa.record_batch(
                     [pa.array(class_of(sets, bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.astype(np.int64)))],

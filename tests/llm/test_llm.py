@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -689,3 +690,38 @@ def test_batches_of_long_texts(spark):
         assert 6_000_000 < largest() < 10_000_000 and spark.conf.get(key) == "9000000"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_languages_judged_in_little_memory():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9))) for _ in range(rng.randint(0, 300))) for _ in range(2000)]
+    data, at = words.utf8(pa.array([*texts, "", "12 34"]))
+    own = [language_id.top_grams(*language_id.grams(*words.utf8(pa.array([t])), 3), 400) for t in texts[:2]]
+    gram = np.concatenate([g for _, g, _ in own])
+    order = np.argsort(gram, kind="stable")
+    every, first = np.unique(gram[order], return_index=True)
+    lang, rank = np.repeat([0, 1], [len(g) for _, g, _ in own])[order], np.concatenate([r for _, _, r in own])[order]
+    profiles = language_id.Profiles(["a", "b"], every, np.append(first, len(order)), lang, rank, 400, 3)
+    language_id.grams(data[:10], np.array([0, 10]), 3)  # the table of letters
+    tracemalloc.start()
+    langs, score = profiles.judge(data, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at[-1] > 1 << 20 and peak < 40 << 20
+    alone = [profiles.judge(data[a:b], np.array([0, b - a])) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert langs == [x[0] for x, _ in alone] and score.tolist() == [float(y[0]) for _, y in alone]
+    assert langs[-2:] == ["und", "und"]
+
+
+def test_bpe_keeps_nothing_after_a_task():
+    P = pytest.importorskip("public_tokenizers")
+    coder = byte_bpe.ByteBPE(byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["one text of some words", None, "words of some text, zzyzxqq"])], names=["doc_id", "text"])
+    rows = [r for b in byte_bpe.coded(coder, iter([batch])) for r in b.to_pylist()]
+    assert not coder.cache and not coder.words
+    assert [r["decoded"] for r in rows] == [b"one text of some words", b"", b"words of some text, zzyzxqq"]
+    again = byte_bpe.coded(coder, iter([batch, batch]))
+    next(again)
+    assert coder.words
+    again.close()  # a task that doesn't read to the end
+    assert not coder.cache and not coder.words
