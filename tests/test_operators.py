@@ -111,3 +111,45 @@ def test_edges_of_ties_and_repeats(spark, monkeypatch):
     assert R.edges(spark.createDataFrame([], df.sparkSession.createDataFrame(rows[:1], "node string, vendor_id long, item_type string, score double").schema)).count() == 0
     one = R.edges(spark.createDataFrame(rows[:1] + [("99_z", 99, "z", 9.0)], "node string, vendor_id long, item_type string, score double"))
     assert one.count() == 0
+
+
+def test_edges_repeat_themselves_on_disk(spark, tmp_path):
+    """A page of edges is made of like runs, which take less than half a byte each; a node is sent to as many cells as there are blocks."""
+    from orderloom.operators import ranking as R
+
+    rng = random.Random(4)
+    rows = [(f"{v}_{t}", v, t, round(0.5 + rng.gauss(0, 0.04), 9)) for v in range(400) for t in "abcdef"]
+    df = R.edges(spark.createDataFrame(rows, "node string, vendor_id long, item_type string, score double"))
+    df.write.parquet(f"{tmp_path}/edges")
+    n = spark.read.parquet(f"{tmp_path}/edges").count()
+    assert n > 5_000_000 and sum(p.stat().st_size for p in (tmp_path / "edges").glob("*.parquet")) < 0.5 * n
+
+
+def test_metrics_of_odd_tables_in_one_pass(spark, tmp_path):
+    """As the SQL has them, with repeated parts, lines without keys and unknown ones; lines are read once."""
+    import duckdb
+
+    from orderloom.operators import ranking as R
+    from orderloom.plans import mining
+    from orderloom.sources.tables import Model
+
+    rng, con = random.Random(5), duckdb.connect()
+    some = lambda n: None if rng.random() < 0.05 else rng.randint(1, n)
+    tables = {
+        "supplier": ("s_suppkey BIGINT, s_name VARCHAR, s_acctbal DOUBLE", [(k, f"v{k}", k - 1.5) for k in range(1, 8)]),
+        "part": ("p_partkey BIGINT, p_name VARCHAR, p_type VARCHAR, p_brand VARCHAR, p_retailprice DOUBLE", [(k, "p", t, "b", 1.0) for k, t in [*((k, "xyz"[k % 3]) for k in range(1, 10)), (1, "y"), (1, "x"), (2, "z"), (2, "z"), (3, "z")]]),
+        "lineitem": (
+            "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, l_extendedprice DOUBLE, l_returnflag VARCHAR, l_discount DOUBLE",
+            [(some(30), some(11), some(9), 1, float(rng.randint(1, 50)), rng.randint(1, 10**6) / 4, rng.choice("ANR"), rng.randint(0, 10) / 100) for _ in range(600)],
+        ),
+    }
+    for name, (columns, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    for name in ("customer", "orders", "nation", "region"):
+        con.execute(f"CREATE VIEW {name} AS FROM '/root/testdata/sf0.001/{name}.parquet'")
+    for name, fan_out in (("vendor_type_metrics", False), ("vendor_type_metrics_fanout", True)):
+        df = R.metrics(Model(spark, str(tmp_path)), fan_out)
+        assert sorted(map(tuple, df.collect())) == sorted(con.sql(mining.ORACLES[name]).fetchall())
+        assert sum("l_suppkey" in x and "Relation" in x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
